@@ -6,10 +6,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestrata.llm import quality, topk
 from lodestrata.llm.common import table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 ENGLISH = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+#: A deployment passes a key of its own.
+PII_KEY = "key of the registered queries"
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +22,30 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.langid import learn_and_predict
+
+    return learn_and_predict(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.quality import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op7_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.bpe import encode_decode
 
@@ -25,9 +53,20 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_id": op3_language_id,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
+    "op6_quality_ledger": op6_quality_ledger,
+    "op7_hash_ring": op7_hash_ring,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_cover_tree_top_k": op10_cover_tree_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality_ledger": quality.SQL, "op10_cover_tree_top_k": topk.SQL}
