@@ -8,6 +8,7 @@ number of rows in a batch.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -66,6 +67,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # Spark drops shuffle files once the driver has collected what refers to them
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,6 +28,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn_and_predict(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.pii import pseudonymise
 
@@ -62,6 +68,7 @@ def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_quality_ledger": op6_quality_ledger,
     "op7_hash_ring": op7_hash_ring,
