@@ -3,11 +3,13 @@ operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.llm import quality, topk
-from lodestrata.llm.common import table
+from lodestrata.llm.common import shared_dir, table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 ENGLISH = "byte_bpe_50k.json"
@@ -16,6 +18,12 @@ PIECES = "piece_bpe_32k.model"
 PII_KEY = "key of the registered queries"
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.suffixes import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.packing import pack_documents
 
@@ -52,6 +60,20 @@ def op7_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after loading all documents under two tokenizer versions in two
+    batches; the first batch is sent twice and counts once."""
+    from lodestrata.llm.rollup import TokenRollup
+
+    versions = {"byte_bpe_50k": (public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN), "byte_bpe_multi_50k": (public_tokenizers.path(MULTI), public_tokenizers.PATTERN)}
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/lodestrata/rollup-{uuid.uuid4().hex}", versions)
+    inserts = table(spark, sf_dir, "documents").select(F.lit("insert").alias("change"), "doc_id", "source", "lang", "text")
+    rollup.commit("0001", inserts, ["byte_bpe_50k"])
+    rollup.commit("0002", inserts, ["byte_bpe_multi_50k"])
+    rollup.commit("0001", inserts, ["byte_bpe_50k"])
+    return rollup.totals()
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.bpe import encode_decode
 
@@ -66,12 +88,14 @@ def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_quality_ledger": op6_quality_ledger,
     "op7_hash_ring": op7_hash_ring,
+    "op8_token_rollup": op8_token_rollup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_cover_tree_top_k": op10_cover_tree_top_k,
 }
