@@ -20,14 +20,20 @@ class JobFailed(RuntimeError):
     pass
 
 
+def _checked(step: Step) -> object:
+    """The step's result; an exit code other than 0 is a failure."""
+    out = step.run()
+    if isinstance(out, int) and not isinstance(out, bool) and out != 0:
+        raise JobFailed(f"{step.name} ended with {out}")
+    return out
+
+
 def run_job(name: str, steps: list[Step], log: RunLog) -> list[tuple[str, str]]:
     """(step, state) of all steps; raises JobFailed, with those, at the first failure."""
     states: list[tuple[str, str]] = []
     for k, step in enumerate(steps):
         try:
-            out = monitored(log, f"{name}.{step.name}")(step.run)()
-            if isinstance(out, int) and not isinstance(out, bool) and out != 0:
-                raise JobFailed(f"{step.name} ended with {out}")
+            monitored(log, f"{name}.{step.name}")(_checked)(step)
             states.append((step.name, "succeeded"))
         except Exception as error:
             states += [(step.name, "failed"), *((s.name, "skipped") for s in steps[k + 1 :])]
