@@ -145,7 +145,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = BLOCK)
     dealt = F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")
     q_dealt = F.pmod(F.xxhash64("_row"), F.lit(q_blocks)).cast("int")
     whole = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    points = sound.select("_dim", dealt.alias("_c"), whole(q_blocks).alias("_q"), "vec_id", "_row", "embedding")
+    # both sides come from one table: aliases keep their columns apart in the plan
+    points = sound.select(F.col("_dim").alias("_dim"), dealt.alias("_c"), whole(q_blocks).alias("_q"), *(F.col(c).alias(c) for c in ("vec_id", "_row", "embedding")))
     queries = sound.where(is_query).select("_dim", whole(blocks).alias("_c"), q_dealt.alias("_q"), "vec_id", "_row", "embedding")
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
