@@ -73,6 +73,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_out(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """df dealt by `key` (about `groups` values, each much work for few bytes) to as
+    many tasks as there are groups or cores, where Spark would join small partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(groups, max(3 * cores, -(-groups // 16)))), key)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches, cut so that each piece holds at most `limit`
     bytes of `column`, or one row."""

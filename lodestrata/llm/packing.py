@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestrata.llm.bpe import CHUNK, library_coder
-from lodestrata.llm.common import materialize, ship, text_chunks
+from lodestrata.llm.common import dealt_out, materialize, ship, text_chunks
 
 #: Short pieces a block holds on average.
 BLOCK = 4096
@@ -163,7 +163,7 @@ def pack(pieces: DataFrame, limit: int = 1024, block: int = BLOCK) -> DataFrame:
             return pa.table({"_row": pa.array(ids, pa.int64()), "length": pa.array(lengths, pa.int32()), "sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())})
 
         dealt = source.select(F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(blocks)).alias("_block"), "_row", "length")
-        return materialize(dealt.groupBy("_block").applyInArrow(one, "_row long, length int, sequence_id long, offset long"), f"packed{level}")
+        return materialize(dealt_out(dealt, "_block", blocks).groupBy("_block").applyInArrow(one, "_row long, length int, sequence_id long, offset long"), f"packed{level}")
 
     first = packed(short, 1, 0.97)
     again = packed(first.where("sequence_id is null").select("_row", "length"), 2, 0.0)

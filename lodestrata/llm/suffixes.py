@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodestrata.llm.common import materialize, mix64, ship, text_chunks
+from lodestrata.llm.common import dealt_out, materialize, mix64, ship, text_chunks
 
 LENGTH = 200
 GRAM = 32
@@ -341,7 +341,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.table({"context_key": pa.array([x[0] for x in rows], pa.binary()), "begins": pa.array([x[1] for x in rows], pa.list_(pa.int32())), "stops": pa.array([x[2] for x in rows], pa.list_(pa.int32()))})
 
     dealt = mild.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "context_key", "context", "places")
-    spans = dealt.groupBy("shard").applyInArrow(shard, "context_key binary, begins array<int>, stops array<int>")
+    spans = dealt_out(dealt, "shard", shards).groupBy("shard").applyInArrow(shard, "context_key binary, begins array<int>, stops array<int>")
 
     # the strings of anchors with very many contexts, each for itself
     singles = hot.select("context_key", "places", "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("start"))
