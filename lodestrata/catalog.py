@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestrata.functions.hashing import row_hash
-from lodestrata.operators import conform, expectations as dq, history, lineage, masking, monitoring
+from lodestrata.operators import conform, expectations as dq, history, lineage, masking, monitoring, sinks
 from lodestrata.plans.table import VersionedTable
 from lodestrata.session import instant, shared_folder, table
 from lodestrata.sources import avro, wire
@@ -429,6 +429,32 @@ def seasonal_mad(spark, sf):
     return s.select("pipeline_name", F.unix_micros("ts").alias("ts_us"), "basis", F.round("median", 4).alias("median"), F.round("score", 4).alias("score"))
 
 
+@query("duration_anomalies", f"select run_id, case when z > 5 then 'P1' else 'P2' end as severity, round(z, 4) as z from (select *, case when c = 0 then null when (case when c = 1 then 0 else d end) = 0 then (case when x = m then 0 when x > m then 'inf'::double else '-inf'::double end) else (x - m) / d end as z from (select run_id, (epoch_us(e) - epoch_us(s)) / 1e6 as x, count(*) over w as c, avg((epoch_us(e) - epoch_us(s)) / 1e6) over w as m, stddev_samp((epoch_us(e) - epoch_us(s)) / 1e6) over w as d from {RUNS} where status = 'succeeded' window w as (partition by event_type order by s, run_id rows between 30 preceding and 1 preceding))) where c >= 7 and z > 3")
+def duration_anomalies(spark, sf):
+    return monitoring.duration_anomalies(monitoring.run_states(runs(spark, sf))).select("run_id", "severity", F.round("z_score", 4).alias("z"))
+
+
+@query("dq_score_history", "select event_type || '/' || ts::date::varchar as run_id, round(avg(case when value <= 300 then 1.0 else 0.0 end), 6)::double as score from events where event_type = 'view' and ts >= timestamp '2024-01-24' group by 1")
+def dq_score_history(spark, sf):
+    day = events(spark, sf).groupBy(F.col("event_type").alias("dataset_name"), F.to_date("ts").alias("day")).agg(F.round(F.avg(F.when(F.col("value") <= 300, 1.0).otherwise(0.0)), 6).alias("score"))
+    scores = day.select("dataset_name", "score", F.concat_ws("/", "dataset_name", F.col("day").cast("string")).alias("run_id"), F.col("day").cast("timestamp").alias("evaluated_at_utc"))
+    return dq.score_history(scores, "view", at(AS_OF), 7).select("run_id", "score")
+
+
+@query("hourly_layout", 'select strftime(ts, \'%Y\') as "year", strftime(ts, \'%m\') as "month", strftime(ts, \'%d\') as "day", strftime(ts, \'%H\') as "hour", count(*) as n from events group by 1, 2, 3, 4')
+def hourly_layout(spark, sf):
+    path = f"{shared_folder(spark)}/hourly/{uuid.uuid4().hex}"
+    sinks.write_hourly(events(spark, sf), F.col("ts"), path)
+    kept = spark.read.option("basePath", path).schema("event_id long, year string, month string, day string, hour string").parquet(path)
+    return kept.groupBy(*sinks.HOURLY).agg(F.count("*").alias("n"))
+
+
+@query("bound_statement", "select event_type, count(*) as n, max(value) as top from events where value > 100 and event_type <> 'error' group by 1")
+def bound_statement(spark, sf):
+    events(spark, sf).createOrReplaceTempView("lodestrata_events")
+    return sinks.query(spark, "select event_type, count(*) as n, max(value) as top from lodestrata_events where value > :least and event_type <> :kind group by 1", least=100, kind="error")
+
+
 @query("recent_topk", "select event_id, epoch_us(ts) as ts_us from events where event_type = 'error' order by ts desc, event_id limit 10")
 def recent_topk(spark, sf):
     errors = events(spark, sf).where("event_type = 'error'").select(F.col("event_id").alias("anomaly_id"), F.col("ts").alias("detected_at_utc"))

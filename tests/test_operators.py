@@ -142,3 +142,13 @@ def test_lineage_never_fails_the_job(spark):
     broken = Lineage(spark, "n", lambda df: 1 / 0)
     broken.emit("FAIL", "job", error="x")
     assert broken.lost == 1
+
+
+def test_alerts_and_exposition():
+    from lodestrata.operators import sinks
+
+    incident = {"severity": "P1", "title": "run_failed", "pipeline_name": "p", "run_id": None, "dedup_key": "pipeline-p-run_failed", "sinks": ["store", "chat", "pager"]}
+    sent = sinks.deliver([incident], {"chat": lambda i: 200, "pager": lambda i: 1 / 0})
+    assert sent[0]["codes"] == {"store": None, "chat": 200, "pager": -1}
+    assert json.loads(sinks.pager_payload(incident, "k"))["payload"]["severity"] == "critical" and "[page]" in sinks.chat_payload(incident)
+    assert sinks.exposition({"rows": 3}, {"topic": "t"}) == '# TYPE lodestrata_rows counter\nlodestrata_rows{topic="t"} 3\n'
