@@ -5,10 +5,16 @@ large-star and small-star.
 Documents with equal shingle sets are one node from the start, so copies are never
 compared. A node's signature holds BANDS * ROWS minima; nodes that agree on all
 rows of a band share a bucket. Within a bucket no pairs are listed at first: each
-node is compared with one of its buckets' smallest nodes, that whose signature is
-most like its own. Only nodes that then still lie in different components of a
-common bucket are paired with each other, if their signatures and sizes allow the
-similarity asked for. All pairs that count are confirmed on the full sets.
+node is compared with the lead of one of its buckets (the node that shares most
+buckets with others), that which is most like it. Only nodes that then still lie in
+different components of a common bucket are paired, if their signatures, sizes and
+parities allow the similarity asked for. All pairs that count are confirmed on the
+full sets.
+
+A set's parities tell for each of PARITIES hash classes whether it holds an odd
+number of shingles. Classes in which two sets differ are at most as many as the
+shingles that only one of them holds, so a pair with more than the similarity allows
+is ruled out for certain, also in large groups whose members are nearly similar.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ BANDS, ROWS = 40, 6
 #: Bits of the sketch: one of each minimum.
 BITS = BANDS * ROWS
 WORDS = (BITS + 63) // 64
+PARITIES = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -76,10 +83,10 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
         if b - a >= size:
             found = np.unique(mixed[a : b - size + 1])
         elif b > a:
-            whole = np.uint64(b - a)
-            for h in hashes[a:b]:
-                whole = mix64(np.array([whole * _ODD + h], np.uint64))[0]
-            found = np.array([whole], np.uint64)
+            whole = np.array([b - a], np.uint64)
+            for i in range(a, b):
+                whole = mix64(whole * _ODD + hashes[i : i + 1])
+            found = whole
         else:
             found = np.zeros(0, np.uint64)
         out.append(found)
@@ -121,8 +128,16 @@ def sketches_of(signatures: np.ndarray) -> np.ndarray:
     return packed.view(np.int64)
 
 
+def parities_of(sets: list[np.ndarray]) -> np.ndarray:
+    """The parities of each set, packed into longs."""
+    out = np.zeros((len(sets), PARITIES), np.uint8)
+    for row, x in zip(out, sets):
+        row[:] = np.bincount((x % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), text_key, bands, sketch of every row."""
+    """doc_id, n_shingles, set_key (null for an empty set), text_key, bands, sketch, parity of every row."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -134,12 +149,12 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
             bands, words = bands_of(signatures), sketches_of(signatures)
             lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), part.column(2), lists(bands), lists(words)],
-                ["doc_id", "n_shingles", "set_key", "text_key", "bands", "sketch"],
+                [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), part.column(2), lists(bands), lists(words), lists(parities_of(sets))],
+                ["doc_id", "n_shingles", "set_key", "text_key", "bands", "sketch", "parity"],
             )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, text_key binary, bands array<long>, sketch array<long>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, text_key binary, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -194,15 +209,22 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root").unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
+def _apart(x: str, y: str, longs: int) -> Column:
+    """How many bits two arrays of longs differ in."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(longs)), F.lit(0))
+
+
 def _alike(x: str, y: str, percent: int) -> Column:
-    """Whether sizes and sketches of two nodes allow the similarity: bits of the
-    sketches agree with probability (1 + similarity) / 2, and six standard
-    deviations below the mean are allowed."""
+    """Whether sizes, sketches and parities of two nodes allow the similarity. Bits of
+    the sketches agree with probability (1 + similarity) / 2, and six standard
+    deviations below the mean are allowed. Shingles of only one set are at most
+    (100 - percent) / (100 + percent) of the two sizes' sum."""
     agree = (1 + percent / 100) / 2
     least = int(BITS * agree - 6 * (BITS * agree * (1 - agree)) ** 0.5)
-    apart = sum((F.bit_count(F.col(f"{x}sketch")[i].bitwiseXOR(F.col(f"{y}sketch")[i])) for i in range(WORDS)), F.lit(0))
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= BITS - least)
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    sketches = _apart(f"{x}sketch", f"{y}sketch", WORDS) <= BITS - least
+    return sizes & sketches & (_apart(f"{x}parity", f"{y}parity", PARITIES // 64) * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -220,21 +242,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     rows = materialize(profiles(docs, size), "profiles")
     some = rows.where("set_key is not null")
-    nodes = some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    nodes = some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     def side(name: str) -> DataFrame:
-        return nodes.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
+        return nodes.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"), F.col("parity").alias(f"{name}_parity"))
 
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
-    leads = buckets.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
-    shared = materialize(buckets.join(leads, "bucket").select("bucket", "id", "lead"), "buckets")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialize(buckets.join(sizes, "bucket").select("bucket", "id", "members"), "buckets")
+    central = shared.groupBy("id").agg(F.sum("members").alias("weight"))
+    leads = shared.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("lead"))
 
-    # first: each node against the lead whose sketch is most like its own
-    trial = shared.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    # first: each node against the lead that is most like it
+    trial = shared.join(leads, "bucket").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     trial = trial.join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(WORDS)), F.lit(0))
-    best = trial.where(_alike("a_", "b_", percent)).groupBy("b").agg(F.min(F.struct(apart.alias("apart"), F.col("a"))).alias("best"))
+    best = trial.where(_alike("a_", "b_", percent)).groupBy("b").agg(F.min(F.struct(_apart("a_parity", "b_parity", PARITIES // 64).alias("apart"), F.col("a"))).alias("best"))
     first = materialize(best.select("best.a", "b"), "pairs")
     wanted = shared.select("id").distinct().join(nodes.select("id", "text_key"), "id")
     sets = materialize(full_sets(docs, wanted, size), "sets")
@@ -244,11 +267,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # then: whatever shares a bucket with another component
     labelled = shared.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    open_ = materialize(labelled.join(mixed, "bucket").join(nodes.select("id", "n", "sketch"), "id"), "mixed")
-    x = open_.select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("id", "root", "n", "sketch")))
-    y = open_.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("id", "root", "n", "sketch")))
+    open_ = materialize(labelled.join(mixed, "bucket").join(nodes.select("id", "n", "sketch", "parity"), "id"), "mixed")
+    x = open_.select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("id", "root", "n", "sketch", "parity")))
+    y = open_.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("id", "root", "n", "sketch", "parity")))
     crossing = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_root") < F.col("y_root")) & _alike("x_", "y_", percent))
-    pairs = crossing.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    pairs = crossing.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     more = materialize(verified(pairs, sets, percent), "verified")
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "labels")
