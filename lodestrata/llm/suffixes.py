@@ -30,8 +30,9 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of contexts a shard holds on average.
 SHARD = 1 << 20
-#: Different contexts of one anchor above which its strings are dealt out singly.
-HOT = 512
+#: Different contexts of one anchor above which its strings are dealt out singly:
+#: so many (of 284 bytes on average) are as much as two shards, which a task can hold.
+HOT = 8192
 #: Starts of strings that are worked on at a time.
 PIECE = 1 << 21
 
