@@ -197,29 +197,21 @@ def decoded(rows: DataFrame, reader, writers: dict[int, object]) -> DataFrame:
     the payload is null, the id unknown or the payload doesn't decode."""
     reader, writers = parse(reader), {k: parse(v) for k, v in writers.items()}
     kind = spark_type(reader)
+    flagged = T.StructType([*kind.fields, T.StructField("_ok", T.BooleanType())])
+    blank = {f.name: None for f in flagged.fields}
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(flagged)
     def read(ids: pd.Series, payloads: pd.Series) -> pd.DataFrame:
         out = []
         for i, data in zip(ids, payloads):
             try:
-                out.append(resolve(decode(bytes(data), writers[int(i)]), writers[int(i)], reader))
+                out.append(resolve(decode(bytes(data), writers[int(i)]), writers[int(i)], reader) | {"_ok": True})
             except (ValueError, KeyError, TypeError, IndexError, UnicodeDecodeError):
-                out.append(None)
-        blank = {f.name: None for f in kind.fields}
-        frame = pd.DataFrame([x or blank for x in out], columns=kind.names, dtype=object)
-        return frame
+                out.append(blank | {"_ok": False})
+        return pd.DataFrame(out, columns=flagged.names, dtype=object)
 
-    ok = F.pandas_udf(lambda ids, payloads: pd.Series([_decodes(i, p, writers, reader) for i, p in zip(ids, payloads)]), "boolean")
-    return rows.withColumn("_ok", ok("schema_id", "payload")).withColumn("decoded", F.when(F.col("_ok"), read("schema_id", "payload"))).drop("_ok")
-
-
-def _decodes(i, data, writers, reader) -> bool:
-    try:
-        resolve(decode(bytes(data), writers[int(i)]), writers[int(i)], reader)
-        return True
-    except (ValueError, KeyError, TypeError, IndexError, UnicodeDecodeError):
-        return False
+    fields = F.struct(*(F.col(f"_read.`{n}`").alias(n) for n in kind.names))
+    return rows.withColumn("_read", read("schema_id", "payload")).withColumn("decoded", F.when(F.col("_read._ok"), fields)).drop("_read")
 
 
 def encode_long(value: Column) -> Column:
