@@ -314,16 +314,15 @@ def own_coder(path: str, pattern: str) -> tuple[RankBPE, TextCoder]:
     return _CODERS[path, pattern]
 
 
-def library_coder(path: str, pattern: str) -> tuple[RankBPE, TextCoder]:
-    """The same for the vocabulary of a JSON or rank file, merged by the tiktoken library."""
-    if (path, pattern, "library") not in _CODERS:
+def library_coder(path: str, pattern: str, added: bool = False) -> tuple[RankBPE, TextCoder]:
+    """The same for the vocabulary of a JSON or rank file, merged by the tiktoken
+    library. With `added`, the added tokens of a JSON file are found in a text as
+    the tokenizers library finds them by default; else they are ordinary text."""
+    if (path, pattern, "library", added) not in _CODERS:
         import tiktoken
 
-        ranks = {k: v for k, v in read_merges(path)[0].items() if k} if path.endswith(".json") else read_ranks(path)
-        if path.endswith(".json"):
-            with open(path, encoding="utf-8") as file:
-                special = {x["id"] for x in json.load(file)["added_tokens"]}
-            ranks = {k: v for k, v in ranks.items() if v not in special}
+        ranks, tokens = ({k: v for k, v in read_merges(path)[0].items() if k}, read_added(path)) if path.endswith(".json") else (read_ranks(path), {})
+        ranks = {k: v for k, v in ranks.items() if v not in tokens.values()}
         model = RankBPE(ranks, {})
         core = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
@@ -332,8 +331,47 @@ def library_coder(path: str, pattern: str) -> tuple[RankBPE, TextCoder]:
             ids = np.array(core.encode_ordinary("".join(parts)) if together else list(chain.from_iterable(map(core.encode_ordinary, parts))), np.int64)
             return ids, by_string(model, ids, strings)
 
-        _CODERS[path, pattern, "library"] = (model, TextCoder(encode_parts))
-    return _CODERS[path, pattern, "library"]
+        coder = TextCoder(encode_parts)
+        _CODERS[path, pattern, "library", added] = (model, with_added(coder, tokens) if added and tokens else coder)
+    return _CODERS[path, pattern, "library", added]
+
+
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of a JSON file of the tokenizers library."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(x[flag] for x in tokens for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: an added token takes in or looks at the characters around it")
+    return {x["content"]: x["id"] for x in tokens}
+
+
+def with_added(encode: TextCoder, tokens: dict[str, int]):
+    """A coder that cuts texts at the added tokens, which give their own ids; what
+    lies between is encoded as a text of its own. Of tokens that overlap the
+    leftmost counts, of those that begin at one place the longest."""
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")")
+
+    def run(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(column, "").cast(pa.large_string())
+        holds = np.zeros(len(texts), bool)
+        for token in tokens:
+            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return encode(texts)
+        rows = [cut.split(x) if y else [x] for x, y in zip(texts.to_pylist(), holds.tolist())]
+        sizes = np.array([len(row) for row in rows])
+        starts = np.cumsum(sizes) - sizes
+        parts = list(chain.from_iterable(rows))
+        own = np.flatnonzero((np.arange(len(parts)) - np.repeat(starts, sizes)) % 2)  # every second part is a token
+        found = [tokens[parts[k]] for k in own]
+        for k in own:
+            parts[k] = ""
+        ids, counts = encode(pa.array(parts, pa.large_string()))
+        ids = np.insert(ids, np.cumsum(counts)[own], np.array(found, ids.dtype))
+        counts[own] = 1
+        return ids, np.add.reduceat(counts, starts)
+
+    return run
 
 
 def by_string(model: RankBPE, ids: np.ndarray, strings: pa.Array) -> np.ndarray:

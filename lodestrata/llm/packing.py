@@ -27,18 +27,20 @@ BLOCK = 4096
 ROUNDS = 8
 
 
-def token_pieces(docs: DataFrame, path: str, pattern: str, limit: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, pattern: str, limit: int = 1024, end_id: int = 2, with_ids: bool = False, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids).
 
     A document is its text's ids (null: none) and then `end_id`; one longer than
     `limit` is cut into full pieces from its end on, so that the first is short.
+    With `added`, added tokens of the file that stand in a text give their own ids,
+    as the tokenizers library has it by default; else they are ordinary text.
     Repeated rows give repeated pieces; other columns play no part.
     """
     ship(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
-        _, encode = library_coder(path, pattern)
+        _, encode = library_coder(path, pattern, added)
         for part in text_chunks(batches, "text", CHUNK):
             ids, counts = encode(part.column(1))
             ends = np.cumsum(counts)
@@ -171,6 +173,6 @@ def pack(pieces: DataFrame, limit: int = 1024, block: int = BLOCK) -> DataFrame:
     return rows.join(whole.unionByName(placed), "_row").drop("_row")
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, limit: int = 1024, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, limit: int = 1024, end_id: int = 2, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
-    return pack(token_pieces(docs, path, pattern, limit, end_id), limit)
+    return pack(token_pieces(docs, path, pattern, limit, end_id, added=added), limit)

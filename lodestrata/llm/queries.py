@@ -27,7 +27,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN)
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN, added=True)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

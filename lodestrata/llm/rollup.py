@@ -27,11 +27,11 @@ ENTRY = "doc_id long, source string, lang string, tokenizer string, n_docs long,
 
 def counted(docs: DataFrame, tokenizer: str, path: str, pattern: str) -> DataFrame:
     """An entry (n_docs 1) for every row of docs: its whole text's tokens and bytes
-    (null: none) under a tokenizer version."""
+    (null: none) under a tokenizer version, whose added tokens count one each."""
     ship(docs.sparkSession)
 
     def run(batches):
-        _, encode = library_coder(path, pattern)
+        _, encode = library_coder(path, pattern, added=True)
         for part in text_chunks(batches, "text", CHUNK):
             counts = encode(part.column(3))[1]
             sizes = [len((x or "").encode()) for x in part.column(3).to_pylist()]

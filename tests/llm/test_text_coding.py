@@ -10,7 +10,8 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestrata.llm import bpe
+import corpus_pipeline
+from lodestrata.llm import bpe, queries
 from lodestrata.llm.packing import best_fit, local_search, pack_documents
 from lodestrata.llm.rollup import TokenRollup
 
@@ -42,6 +43,26 @@ def test_ids_are_those_of_the_libraries():
         assert split(*kind(JSON, P.PATTERN)[1](pa.array(texts))) == wanted
 
 
+def test_added_tokens_are_those_of_the_library():
+    end = "<|endoftext|>"
+    texts = [*ODD, end, end * 3, f"a  {end}\n b", f" {end} {end} x", f"x<|endoftext{end}|> 's", f"{end[:-1]} >", *(end.join(random_texts(5)) for _ in range(40)), *random_texts(100)]
+    other = Tokenizer.from_file(JSON)
+    wanted = [x.ids for x in other.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert split(*bpe.library_coder(JSON, P.PATTERN, added=True)[1](pa.array(texts))) == wanted
+    for few in ([], [None], ["", None, end]):
+        assert bpe.library_coder(JSON, P.PATTERN, added=True)[1](pa.array(few, pa.string()))[1].tolist() == [int(x == end) for x in few]
+
+
+def test_packing_and_rollup_know_added_tokens(spark, tmp_path):
+    (tmp_path / "documents.parquet").mkdir()
+    docs = spark.createDataFrame([(1, "a <|endoftext|> hi", "s", "en")], "doc_id long, text string, source string, lang string")
+    docs.write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
+    wanted = [*Tokenizer.from_file(JSON).encode("a <|endoftext|> hi", add_special_tokens=False).ids, 2]
+    for rows in (queries.op2_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path))):
+        assert [(r.length, r.ids_crc32) for r in rows.collect()] == [(len(wanted), zlib.crc32(np.array(wanted, "<u4").tobytes()))]
+    assert {r.n_tokens for r in queries.op8_token_rollup(spark, str(tmp_path)).where("tokenizer = 'byte_bpe_50k'").collect()} == {len(wanted) - 1}
+
+
 def test_no_texts():
     for texts in ([], [None], ["", ""]):
         ids, counts = bpe.own_coder(RANKS, P.PATTERN)[1](pa.array(texts, pa.string()))
