@@ -18,19 +18,30 @@ ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31: the domain of dates.
 DAYS = 73_049
 
-#: What may be personal, each beginning and ending outside a longer run.
+#: A run of digit groups in which cards of 4-4-4-4 and 4-6-5 may stand, overlapping
+#: ones too. A group after the fourth that begins a mail address is not of the run;
+#: a date whose year may be the last group is.
+_RUN = (
+    r"(?:\d{4}(?:[ -]\d{4}){3}(?!\w)(?:(?: (?![A-Za-z0-9._%+-]++@)|-)\d{4}(?!\w))*+(?:[ -]\d{6}[ -]\d{5}(?!\w)|(?<= \d{4})-\d{2}-\d{2}(?![\d-]))?"
+    r"|\d{4}[ -]\d{6}[ -]\d{5}(?!\w))"
+)
+#: What may be personal, each beginning and ending outside a longer run. A phone or
+#: social security number that may share a group with a card is one candidate with it.
 PATTERN = "|".join(
     (
         r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}+(?![\w-])",
         r"(?<![\w])AKIA[A-Z0-9]{16}(?![\w])",
         r"(?<![\w])(?i:password|passwd|secret|token|api_key|apikey)(?-i)[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9+/_-]{8,200}+",
         r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
+        r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]" + _RUN,
+        r"(?<![\w+.-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]" + _RUN,
+        r"(?<![\w.-])\d{3}-\d{2}-" + _RUN,
         r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)",
         r"(?<![\w+.-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
         r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
         r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\d-])",
         r"(?<!\w)(?<!\d[.-])\d{13,19}(?!\w)",
-        r"(?<!\w)(?<!\d[ .-])\d{4}[ -](?:\d{4}[ -]\d{4}[ -]\d{4}|\d{6}[ -]\d{5})(?!\w)",
+        r"(?<!\w)" + _RUN,
     )
 )
 
@@ -38,6 +49,8 @@ _LUHN = (
     "pmod(aggregate(transform(split(reverse({0}), ''), (c, i) -> cast(c as bigint) * (1 + i % 2)), 0L, (a, x) -> a + x div 10 + x % 10), 10)"
 )
 
+_DAY = "try_to_date({0}, 'yyyy-MM-dd') between date'1900-01-01' and date'2099-12-31'"
+
 
 def _quoted(text: str) -> str:
     return "r'" + text.replace("'", "\\x27") + "'"
@@ -95,6 +108,48 @@ def _card(value: str) -> str:
     return f"element_at(transform(array({body}), b -> concat(b, cast(pmod(10 - {check}, 10) as string))), 1)"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _pieces() -> str:
+    """SQL for the pieces of a candidate m: structs of a text v and whether it stays.
+
+    All but runs of groups are one piece. In a run every window of Luhn's rule goes:
+    from the left, one that overlaps none before it is a card; groups that only a
+    window overlapping a card has are pieces of their own. Of the number before a
+    run and the date after it, what shares no group with a card is a piece too.
+    """
+    head, tail = r"regexp_extract(m, r'^(?:[+(]?\d{1,3}[() .-]+)*', 0)", r"regexp_extract(m, r'-\d{2}-\d{2}$', 0)"
+    split = _let("o", f"named_struct('h', {head}, 'e', {tail})", "named_struct('h', o.h, 'e', o.e, 'c', substr(m, length(o.h) + 1, length(m) - length(o.h) - length(o.e)))")
+    groups = _let("o", split, "named_struct('h', o.h, 'e', o.e, 'g', split(o.c, '[ -]'), 's', regexp_extract_all(o.c, '[ -]', 0))")
+    fours = "(size(o.g) - if(length(element_at(o.g, -1)) = 5, 2, 0))"
+    width = f"if(u + 4 <= {fours}, 4, if(u + 1 = {fours} and size(o.g) > {fours}, 3, 0))"
+    wide = _let("o", groups, f"named_struct('h', o.h, 'e', o.e, 'g', o.g, 's', o.s, 'w', transform(sequence(0, size(o.g) - 1), u -> {width}))")
+    right = f"o.w[u] > 0 and {_LUHN.format("array_join(slice(o.g, u + 1, o.w[u]), '')")} = 0"
+    valid = _let("o", wide, f"named_struct('h', o.h, 'e', o.e, 'g', o.g, 's', o.s, 'w', o.w, 'r', transform(sequence(0, size(o.g) - 1), u -> {right}))")
+    # a string with a mark at each card's first group; it ends with the last card's
+    marks = "aggregate(filter(sequence(0, size(o.g) - 1), u -> o.r[u]), '', (f, u) -> if(f = '' or u >= length(f) + 3, concat(rpad(f, u, '-'), 'c'), f))"
+    marked = _let("o", valid, f"named_struct('h', o.h, 'e', o.e, 'g', o.g, 's', o.s, 'w', o.w, 'r', o.r, 'f', split(rpad({marks}, size(o.g), '-'), ''))")
+    piece = lambda v, stays: f"named_struct('v', {v}, 'stays', {stays})"
+    after = lambda u: f"coalesce(get(o.s, {u}), '')"
+    near = lambda array, test: "(" + " or ".join(f"coalesce(get({array}, u - {i}){test}, false)" for i in (1, 2, 3)) + ")"
+    window = "array_join(zip_with(slice(o.g, u + 1, o.w[u]), concat(slice(o.s, u + 1, o.w[u] - 1), array('')), (x, y) -> concat(x, y)), '')"
+    last = "u + 1 = size(o.g)"
+    day = f"o.e <> '' and coalesce({_DAY.format('concat(t, o.e)')}, false)"
+    ended = f"if({last}, o.e, {after('u')})"
+    other = f"get(o.s, 0) <> ' ' and not (o.h like '%)%')"
+    run = f"""flatten(transform(o.g, (t, u) -> case
+        when o.f[u] = 'c' then array({piece("if(u = 0, o.h, '')", 'true')}, {piece(window, 'false')}, {piece(f"if(u + o.w[u] = size(o.g), o.e, {after('u + o.w[u] - 1')})", 'true')})
+        when {near('o.f', " = 'c'")} then array({piece("''", 'true')})
+        when {last} and {day} then array({piece('concat(t, o.e)', 'false')})
+        when o.r[u] or {near('o.r', '')} then array({piece('t', 'false')}, {piece(ended, 'true')})
+        when u = 0 and o.h <> '' then array({piece('concat(o.h, t)', other)}, {piece(after('u'), 'true')})
+        else array({piece(f'concat(t, {ended})', 'true')}) end))"""
+    is_run = r"m rlike r'^[+(0-9]' and not contains(m, '@') and m rlike r'\d{4}[ -](?:\d{4}[ -]\d{4}[ -]\d{4}|\d{6}[ -]\d{5})'"
+    return f"if({is_run}, {_let('o', marked, run)}, array({piece('m', 'false')}))"
+
+
 def _pseudonym() -> str:
     """SQL for the pseudonym of a candidate m; m itself where it isn't valid."""
     octets = "forall(split(m, '[.]'), x -> cast(x as int) <= 255)"
@@ -105,14 +160,15 @@ def _pseudonym() -> str:
         when m rlike r'^[A-Za-z]' then {_by_class('m', "length(regexp_extract(m, r'^[A-Za-z_]+[ \\t]*[=:][ \\t]*[^A-Za-z0-9+/_-]?', 0))", 'length(m)', "'secret'")}
         when m rlike r'^[0-9]+([.][0-9]+){{3}}$' and length(m) <= 15 then if({octets}, {_octets('m')}, m)
         when m rlike r'^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if({area} between 1 and 899 and {area} <> 666 and substr(m, 5, 2) <> '00' and substr(m, 8, 4) <> '0000', {_ssn('m')}, m)
-        when m rlike r'^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' then if(try_to_date(m, 'yyyy-MM-dd') between date'1900-01-01' and date'2099-12-31', {_date('m')}, m)
+        when m rlike r'^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' then if({_DAY.format('m')}, {_date('m')}, m)
         when length(regexp_replace(m, '[^0-9]', '')) >= 13 and not m rlike r'[(+.]' then if({_LUHN.format("regexp_replace(m, '[ -]', '')")} = 0, {_card('m')}, m)
         else {_by_class('m', "length(regexp_extract(m, r'^[+][0-9]+[ .-]?', 0))", 'length(m)', "'phone'")} end"""
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """docs with `column`'s personal data replaced by pseudonyms under `key`, and
-    the columns pii_found (candidates) and pii_changed (replaced), both long.
+    the columns pii_found (candidates) and pii_changed (replaced), both long. A run of
+    digit groups counts as often as there are cards in it, once at least.
 
     A null text stays null and counts zero; an empty one stays empty. Rows don't
     depend on each other, so repeated rows stay equal, and an empty table gives
@@ -121,10 +177,14 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """
     literal = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rest = [c for c in docs.columns if c not in ("pii_found", "pii_changed", "_found", "_new")]
-    found = docs.select(*rest, F.expr(f"regexp_extract_all(`{column}`, {_quoted(PATTERN)}, 0)").alias("_found"))
-    new = found.select(*rest, "_found", F.expr(f"transform(_found, m -> {_pseudonym()})".replace("pii_key()", literal)).alias("_new"))
+    every = f"transform(regexp_extract_all(`{column}`, {_quoted(PATTERN)}, 0), m -> {_pieces()})"
+    found = docs.select(*rest, F.expr(every).alias("_found"))
+    each = f"if(p.stays, p.v, {_let('m', 'p.v', _pseudonym())})".replace("pii_key()", literal)
+    new = found.select(*rest, "_found", F.expr(f"transform(_found, ps -> transform(ps, p -> {each}))").alias("_new"))
     parts = f"split(`{column}`, {_quoted(PATTERN)}, -1)"
-    joined = f"element_at(transform(array({parts}), p -> concat(p[0], array_join(zip_with(_new, slice(p, 2, size(_new)), (m, s) -> concat(m, s)), ''))), 1)"
+    joined = f"element_at(transform(array({parts}), p -> concat(p[0], array_join(zip_with(_new, slice(p, 2, size(_new)), (m, s) -> concat(array_join(m, ''), s)), ''))), 1)"
     text = F.expr(f"if(size(_found) > 0, {joined}, `{column}`)").alias(column)
-    changed = F.expr("cast(aggregate(zip_with(_found, _new, (a, b) -> if(a <=> b, 0, 1)), 0, (x, y) -> x + y) as bigint)")
-    return new.select(*(text if c == column else F.col(f"`{c}`") for c in rest), F.coalesce(F.greatest(F.size("_found"), F.lit(0)), F.lit(0)).cast("long").alias("pii_found"), F.coalesce(changed, F.lit(0)).cast("long").alias("pii_changed"))
+    count = lambda each: F.coalesce(F.expr(f"aggregate({each}, 0L, (x, y) -> x + y)"), F.lit(0)).cast("long")
+    candidates = count("transform(_found, ps -> greatest(1, size(filter(ps, p -> not p.stays))))")
+    changed = count("transform(flatten(zip_with(_found, _new, (ps, ns) -> zip_with(ps, ns, (p, n) -> p.v <=> n))), same -> if(same, 0, 1))")
+    return new.select(*(text if c == column else F.col(f"`{c}`") for c in rest), candidates.alias("pii_found"), changed.alias("pii_changed"))

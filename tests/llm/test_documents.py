@@ -241,6 +241,54 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(frame(spark, []), "k").count() == 0
 
 
+def brute_cards(text):
+    """Places of the digits of every window of 4-4-4-4 or 4-6-5 groups that passes Luhn's check."""
+    at = set()
+    for m in re.finditer(r"(?<!\w)(?=(\d{4}[ -](?:\d{4}[ -]\d{4}[ -]\d{4}|\d{6}[ -]\d{5}))(?!\w))", text):
+        end = m.start() + len(m[1])
+        if luhn(re.sub("[ -]", "", m[1])) and not re.match(r"\w", text[end : end + 1]):
+            at |= set(range(m.start(), end))
+    return at
+
+
+def test_cards_among_other_digit_groups(spark):
+    card, amex, r = "4111 1111 1111 1111", "3782 822463 10005", random.Random(4)
+    one = pii.pseudonymise(frame(spark, [(0, card, None), (1, amex, None), (2, "521 555 6210", None), (3, "2024-02-29", None), (4, card.replace(" ", "-"), None)]), "k").collect()
+    new, new_amex, phone, date, dashed = (x.text for x in sorted(one, key=lambda x: x.doc_id))
+    want = [
+        ("line 3 4111-1111-1111-1111", f"line 3 {dashed}", 1),
+        (f"{card} {card}", f"{new} {new}", 2),
+        (f"2024 {card}", f"2024 {new}", 1),
+        (f"2024-02-29 {card} 2024-02-29", f"{date} {new} {date}", 3),
+        (f"3.{card}, 12-{card} 7", f"3.{new}, 12-{new} 7", 2),
+        (f"{card} {amex} 521 555 6210", f"{new} {new_amex} {phone}", 3),
+        (f"521 555 {card}", f"521 555 {new}", 1),
+        (f"123-45-{card}", f"123-45-{new}", 1),
+        ("4111 1111 1111 1112 2024", "4111 1111 1111 1112 2024", 0),
+        ("4111 1111 1111 1112 2024-02-29", f"4111 1111 1111 1112 {date}", 1),
+        ("4111 1111 1111 1112 2024-02-30", "4111 1111 1111 1112 2024-02-30", 0),
+        ("521 555 6210 1111 1111 1113", f"{phone} 1111 1111 1113", 1),
+        (f"{card} 1999@example.com", None, 2),
+        ("4111 " * 20_000, None, None),
+        ("2001-" * 20_000, None, None),
+    ]
+    groups = [" ".join(str(r.randint(0, 9999)).zfill(4) for _ in range(r.randint(4, 30))) + r.choice(["", " 822463 10005"]) for _ in range(300)]
+    rows = [(i, x, None) for i, x in enumerate([*(w[0] for w in want), *groups])]
+    got = {x.doc_id: x for x in pii.pseudonymise(frame(spark, rows), "k").collect()}
+    for i, (text, pseudonym, n) in enumerate(want):
+        assert pseudonym is None or got[i].text == pseudonym, text
+        assert n is None or got[i].pii_changed == n, text
+        assert len(got[i].text) == len(text)
+    assert "1999@" not in got[12].text
+    for i, text, _ in rows[len(want) :]:
+        covered = brute_cards(text)
+        assert all(a == b for k, (a, b) in enumerate(zip(text, got[i].text)) if k not in covered)
+        assert got[i].pii_found >= 1 and (got[i].pii_changed > 0) == bool(covered)
+        for k in range(0, len(text), 5):
+            if k in covered and text[k : k + 5].count(" ") <= 1:
+                assert got[i].text[k : k + 19] != text[k : k + 19]
+
+
 def test_pseudonyms_are_permutations(spark):
     made = {
         "date": "date_format(date_add(date'1900-01-01', cast(id * 7 as int)), 'yyyy-MM-dd')",
