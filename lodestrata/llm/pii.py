@@ -31,7 +31,7 @@ PATTERN = "|".join(
     (
         r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}+(?![\w-])",
         r"(?<![\w])AKIA[A-Z0-9]{16}(?![\w])",
-        r"(?<![\w])(?i:password|passwd|secret|token|api_key|apikey)(?-i)[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9+/_-]{8,200}+",
+        r"(?<![\w])(?i:password|passwd|secret|token|api_key|apikey)(?-i)[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9+/_-]{8,}+",
         r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
         r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]" + _RUN,
         r"(?<![\w+.-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]" + _RUN,

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -289,6 +290,15 @@ def test_cards_among_other_digit_groups(spark):
                 assert got[i].text[k : k + 19] != text[k : k + 19]
 
 
+def test_long_secrets_go_whole(spark):
+    values = ["".join(random.Random(n).choices(string.ascii_letters + string.digits, k=n)) for n in (8, 200, 201, 1000, 50_000)]
+    rows = [(i, f"token={x} end", None) for i, x in enumerate(values)]
+    for r in pii.pseudonymise(frame(spark, rows), "k").collect():
+        new, old = r.text.removeprefix("token=").removesuffix(" end"), values[r.doc_id]
+        assert len(new) == len(old) and r.pii_changed == 1 and (len(old) < 100 or new[-50:] != old[-50:])
+        assert sum(a == b for a, b in zip(new, old)) <= 0.15 * len(old) + 3
+
+
 def test_pseudonyms_are_permutations(spark):
     made = {
         "date": "date_format(date_add(date'1900-01-01', cast(id * 7 as int)), 'yyyy-MM-dd')",
