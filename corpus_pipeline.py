@@ -14,7 +14,7 @@ from lodestrata.llm.quality import ledger, passes
 from lodestrata.llm.suffixes import without_repeats
 
 #: The policy that stage one applies; a deployment passes a key of its own.
-POLICY, KEY = 2, "key of the registered queries"
+POLICY, KEY = 4, "key of the registered queries"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

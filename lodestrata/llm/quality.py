@@ -39,13 +39,15 @@ RULES = (
     Rule(3, "repeated_lines", "n_lines > 1 and 100 * n_dup_lines > 30 * n_lines"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 40 * n_words"),
+    Rule(6, "many_repeated_lines", "n_dup_lines > 2 and 100 * n_dup_lines > 30 * n_lines"),
 )
 BASE = ("few_words", "repeated_words")
 #: Policy version -> the rules it enforces.
 POLICIES = {
     1: BASE,
     2: (*BASE, "symbols", "repeated_lines"),
-    3: tuple(r.name for r in RULES),
+    3: tuple(r.name for r in RULES[:6]),
+    4: (*BASE, "symbols", "many_repeated_lines"),
 }
 
 
@@ -127,10 +129,11 @@ def ablation(entries: DataFrame, version: int) -> DataFrame:
 
 
 def digest(docs: DataFrame, version: int = 2) -> DataFrame:
-    """doc_id, the contract's measures, base_failed and kept of every row."""
+    """doc_id, the contract's measures, base_failed and kept of every row, and the
+    bits of the rules that policy 3 has."""
     base = F.col("failed").bitwiseAND(F.lit(mask(BASE)).cast("long")) != 0
     entries = ledger(docs.selectExpr("cast(doc_id as long) doc_id", "text"))
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (passes(1) & passes(version)).alias("kept"), "failed")
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (passes(1) & passes(version)).alias("kept"), F.col("failed").bitwiseAND(F.lit(mask(POLICIES[3])).cast("long")).alias("failed"))
 
 
 SQL = r"""

@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestrata.llm import langid, minhash, pii, quality, sharding, suffixes
 from tests.compare import assert_same
 
@@ -226,6 +227,14 @@ def luhn(s):
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
 
 
+def test_one_repeated_line_is_no_reason(spark):
+    body = " ".join(f"word{i}" for i in range(60))
+    texts = [f"a line\n{body}\na line", f"{body}\n" + "a line\n" * 3, f"{body}\n" + "a line\n" * 4]
+    entries = quality.ledger(frame(spark, [(i, x, None) for i, x in enumerate(texts)]))
+    passed = {v: {r.doc_id for r in entries.where(quality.passes(v)).collect()} for v in (2, corpus_pipeline.POLICY)}
+    assert passed == {2: set(), 4: {0, 1}}
+
+
 def test_pseudonyms(spark):
     t = "mail hein.19@mail5.example.com, +1 (521) 555-6210, card 4381893557741609 4465758382889437 x 4381-8935-5774-1609 bad 4381893557741608, ip 152.143.123.131, 999.1.1.1, 123-45-6789, 000-12-3456, 2024-02-29, 2023-02-29."
     rows = [(1, t, None), (2, "again 4381893557741609 and hein.19@mail5.example.com", None), (3, None, None), (4, "", None), (5, "x" * 100_000, None), (6, "1-" * 30_000, None)]
