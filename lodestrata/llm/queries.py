@@ -14,6 +14,7 @@ from lodestrata.llm.common import shared_dir, table
 MULTI = "byte_bpe_multi_50k.tiktoken"
 ENGLISH = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+TOKENIZERS = {"byte_bpe_50k": (public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN), "byte_bpe_multi_50k": (public_tokenizers.path(MULTI), public_tokenizers.PATTERN)}
 #: A deployment passes a key of its own.
 PII_KEY = "key of the registered queries"
 
@@ -60,17 +61,35 @@ def op7_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def rollup_batches(docs: DataFrame) -> list[tuple[str, DataFrame, list[str] | None]]:
+    """Name, changes and tokenizer versions of op8's batches: all documents under
+    one version, under the other, and the first again; then a seventh of them is
+    deleted and another revised, and at last both are as they were."""
+    docs = docs.select("doc_id", "source", "lang", "text")
+    seventh = F.pmod(F.col("doc_id").cast("long"), F.lit(7))
+
+    def change(name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(name).alias("change"), *docs.columns)
+
+    inserts, gone, other = change("insert", docs), docs.where(seventh == 0), docs.where(seventh == 1)
+    revised = other.withColumns({"source": F.col("lang"), "text": F.expr("substr(text, 1, length(text) div 2)")})
+    without_text = lambda rows: change("delete", rows.withColumns({c: F.lit(None).cast("string") for c in ("source", "lang", "text")}))
+    return [
+        ("0001", inserts, ["byte_bpe_50k"]),
+        ("0002", inserts, ["byte_bpe_multi_50k"]),
+        ("0001", inserts, ["byte_bpe_50k"]),
+        ("0003", without_text(gone).unionByName(change("revise", revised)), None),
+        ("0004", without_text(other).unionByName(change("insert", docs.where(seventh < 2))), None),
+    ]
+
+
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after loading all documents under two tokenizer versions in two
-    batches; the first batch is sent twice and counts once."""
+    """Totals of all documents under two tokenizer versions after rollup_batches()."""
     from lodestrata.llm.rollup import TokenRollup
 
-    versions = {"byte_bpe_50k": (public_tokenizers.path(ENGLISH), public_tokenizers.PATTERN), "byte_bpe_multi_50k": (public_tokenizers.path(MULTI), public_tokenizers.PATTERN)}
-    rollup = TokenRollup(spark, f"{shared_dir(spark)}/lodestrata/rollup-{uuid.uuid4().hex}", versions)
-    inserts = table(spark, sf_dir, "documents").select(F.lit("insert").alias("change"), "doc_id", "source", "lang", "text")
-    rollup.commit("0001", inserts, ["byte_bpe_50k"])
-    rollup.commit("0002", inserts, ["byte_bpe_multi_50k"])
-    rollup.commit("0001", inserts, ["byte_bpe_50k"])
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/lodestrata/rollup-{uuid.uuid4().hex}", TOKENIZERS)
+    for name, changes, versions in rollup_batches(table(spark, sf_dir, "documents")):
+        rollup.commit(name, changes, versions)
     return rollup.totals()
 
 

@@ -74,11 +74,16 @@ class TokenRollup:
 
         Repeated inserts are documents of their own. A delete or revision of an
         unknown or null doc_id takes nothing back; a revision still adds its count.
-        Deleting needs no text. `versions`: tokenizer versions to count, else all.
+        Deleting needs no text. Changes of a batch have no order: all its deletes and
+        revisions take back what earlier batches hold, and of several revisions of one
+        doc_id the greatest by text, source and lang (null: least) counts.
+        `versions`: tokenizer versions to count, else all.
         """
         if self.committed(batch):
             return False
-        added = changes.where("change in ('insert', 'revise')")
+        given = changes.selectExpr("change", "cast(doc_id as long) doc_id", "source", "lang", "text")
+        latest = given.where("change = 'revise' and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("text", "source", "lang")).alias("new"))
+        added = given.where("change = 'insert' or (change = 'revise' and doc_id is null)").drop("change").unionByName(latest.select("doc_id", "new.*"))
         entries = reduce(DataFrame.unionByName, [counted(added, v, *self.tokenizers[v]) for v in versions or sorted(self.tokenizers)])
         held = self._read("entries")
         if held is not None:

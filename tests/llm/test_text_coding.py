@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from lodestrata.llm import bpe, queries
 from lodestrata.llm.packing import best_fit, local_search, pack_documents
-from lodestrata.llm.rollup import TokenRollup
+from lodestrata.llm.rollup import TokenRollup, counted
 
 RANKS, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 ODD = ["", None, "   ", "a  b   c ", "  lead", " \n x\n\n y", "a\x1c\x1c b", "a \x1c b", "x" * 700, "ab" * 900 + " " * 500 + "é" * 400, "日本語テキスト " * 30, "<|endoftext|> hi", " 's 'll  're", "\t\t a", "a\xa0 \xa0b", "á́   b", "\U0001f600" * 9]
@@ -144,3 +144,31 @@ def test_rollup(spark, tmp_path):
     spark.range(3).write.parquet(f"file://{tmp_path}/r/entries/3")
     assert rollup.commit("3", spark.createDataFrame([("insert", 9, "s", "fr", "x")], ddl))
     assert totals()["s", "fr", "a"][0] == 2
+
+
+def test_rollup_of_a_whole_table_with_deletes_and_revisions(spark, tmp_path):
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    rollup = TokenRollup(spark, f"file://{tmp_path}/r", queries.TOKENIZERS)
+
+    def totals(df):
+        return sorted((*(x or "" for x in r[:3]), *r[3:]) for r in df.select("source", "lang", "tokenizer", "n_docs", "n_tokens", "n_bytes").collect())
+
+    def wanted(rows):
+        counts = [counted(rows, name, *queries.TOKENIZERS[name]) for name in queries.TOKENIZERS]
+        counts[0].unionByName(counts[1]).createOrReplaceTempView("counts_of_all")
+        return totals(spark.sql("select source, lang, tokenizer, count(*) n_docs, sum(n_tokens) n_tokens, sum(n_bytes) n_bytes from counts_of_all group by all"))
+
+    docs.createOrReplaceTempView("all_documents")
+    changed = spark.sql("select doc_id, if(doc_id % 7 = 1, lang, source) source, lang, if(doc_id % 7 = 1, substr(text, 1, length(text) div 2), text) text from all_documents where doc_id % 7 <> 0 or doc_id is null")
+    done = [rollup.commit(*batch) for batch in queries.rollup_batches(docs)[:4]]
+    assert done == [True, True, False, True] and totals(rollup.totals()) == wanted(changed) != wanted(docs)
+    assert totals(queries.op8_token_rollup(spark, path)) == wanted(docs)
+
+
+def test_of_repeated_revisions_one_counts(spark, tmp_path):
+    ddl = "change string, doc_id long, source string, lang string, text string"
+    rollup = TokenRollup(spark, f"file://{tmp_path}/r", {"a": (JSON, P.PATTERN)})
+    rollup.commit("1", spark.createDataFrame([("insert", 1, "s", "en", "one")], ddl))
+    rollup.commit("2", spark.createDataFrame([("revise", 1, "s", "en", "a b"), ("revise", 1, "s", "en", "b c d"), ("revise", 1, "s", "en", None), ("revise", None, "s", "en", "x"), ("revise", None, "s", "en", "x")], ddl))
+    assert [(r.n_docs, r.n_tokens, r.n_bytes) for r in rollup.totals().collect()] == [(3, 5, 7)]
