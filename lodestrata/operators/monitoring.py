@@ -20,6 +20,8 @@ INCIDENTS = "incident_id string, pipeline_name string, run_id string, severity s
 RANK = {"P1": 1, "P2": 2, "P3": 3}
 ROLLING, LEAST_HISTORY = 30, 7
 SEASONAL_LEAST, ALL_LEAST = 8, 4
+#: Seasonality -> what a bucket's values share besides the pipeline.
+SEASONS = {"day_of_week_hour": ["_weekday", "_hour"], "hour_of_day": ["_hour"], "none": []}
 
 
 def run_states(runs: DataFrame) -> DataFrame:
@@ -61,14 +63,16 @@ def run_checks(states: DataFrame, slas: DataFrame) -> DataFrame:
     return joined.select("run_id", "pipeline_name", F.explode(found).alias("c")).select("run_id", "pipeline_name", "c.*")
 
 
-def seasonal_scores(series: DataFrame, at: Column) -> DataFrame:
+def seasonal_scores(series: DataFrame, at: Column, seasonality: str = "day_of_week_hour", most: float = 3.0) -> DataFrame:
     """series (pipeline_name, ts, value) with a robust score against the values of
-    the same weekday and hour (if there are SEASONAL_LEAST), else against all of the
-    pipeline's (if ALL_LEAST), else null. `at`: rows before it are history."""
+    the same bucket of SEASONS (if there are SEASONAL_LEAST), else against all of the
+    pipeline's (if ALL_LEAST), else null, and the verdict is_anomalous: whether the
+    score is over `most` either way (false without a score). `at`: rows before it
+    are history."""
     rows = series.withColumns({"_weekday": F.weekday("ts"), "_hour": F.hour("ts")})
     past = rows.where(F.col("ts") < at)
     centres = []
-    for keys, name in ((["pipeline_name", "_weekday", "_hour"], "seasonal"), (["pipeline_name"], "all")):
+    for keys, name in ((["pipeline_name", *SEASONS[seasonality]], "seasonal"), (["pipeline_name"], "all")):
         med = past.groupBy(*keys).agg(F.count("value").alias(f"{name}_n"), F.median("value").alias(f"{name}_median"))
         dev = past.join(med, keys).groupBy(*keys).agg(F.median(F.abs(F.col("value") - F.col(f"{name}_median"))).alias(f"{name}_mad"))
         centres.append((keys, med.join(dev, keys)))
@@ -79,7 +83,8 @@ def seasonal_scores(series: DataFrame, at: Column) -> DataFrame:
     enough = F.coalesce(F.col("all_n") >= ALL_LEAST, F.lit(False))
     pick = lambda what: F.when(seasonal, F.col(f"seasonal_{what}")).when(enough, F.col(f"all_{what}"))
     out = out.withColumns({"basis": F.when(seasonal, "seasonal").when(enough, "all"), "median": pick("median"), "mad": pick("mad")})
-    return out.withColumn("score", robust_score(F.col("value"), F.col("median"), F.col("mad"))).drop("_weekday", "_hour", *(f"{a}_{b}" for a in ("seasonal", "all") for b in ("n", "median", "mad")))
+    scored = out.withColumn("score", robust_score(F.col("value"), F.col("median"), F.col("mad")))
+    return scored.withColumn("is_anomalous", F.coalesce(F.abs("score") > most, F.lit(False))).drop("_weekday", "_hour", *(f"{a}_{b}" for a in ("seasonal", "all") for b in ("n", "median", "mad")))
 
 
 def robust_score(value: Column, median: Column, mad: Column) -> Column:

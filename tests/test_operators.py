@@ -152,3 +152,19 @@ def test_alerts_and_exposition():
     assert sent[0]["codes"] == {"store": None, "chat": 200, "pager": -1}
     assert json.loads(sinks.pager_payload(incident, "k"))["payload"]["severity"] == "critical" and "[page]" in sinks.chat_payload(incident)
     assert sinks.exposition({"rows": 3}, {"topic": "t"}) == '# TYPE lodestrata_rows counter\nlodestrata_rows{topic="t"} 3\n'
+
+
+def test_seasonalities_and_verdict(spark):
+    # ten days at 9 h near 1000 and at 10 h near 10; the last day is scored
+    past = [("p", f"2024-01-{d:02} {h:02}:00:00", v + d) for d in range(1, 11) for h, v in ((9, 1000.0), (10, 10.0))]
+    late = [("p", "2024-01-20 09:00:00", 1005.0), ("p", "2024-01-20 10:00:00", 1005.0), ("q", "2024-01-20 09:00:00", 1.0)]
+    series = spark.createDataFrame(past + late, "pipeline_name string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+    def verdicts(*args):
+        rows = monitoring.seasonal_scores(series, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), *args).orderBy("pipeline_name", "ts").collect()
+        return [(r.basis, r.is_anomalous) for r in rows]
+
+    assert verdicts() == [("all", False), ("all", False), (None, False)]
+    assert verdicts("hour_of_day") == [("seasonal", False), ("seasonal", True), (None, False)]
+    assert verdicts("hour_of_day", 1e6) == [("seasonal", False), ("seasonal", False), (None, False)]
+    assert verdicts("none") == [("seasonal", False), ("seasonal", False), (None, False)]
