@@ -8,16 +8,17 @@ number of rows in a batch.
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a Python worker holds in numpy form at a time.
 CHUNK_BYTES = 2 << 20
@@ -48,29 +49,75 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where the session
-    has none (tests on one machine) a temporary folder is named instead."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: spark.checkpoint.dir. Where the session has
+    none, a temporary folder takes its place if driver and executors are one
+    process; on a cluster that is an error, since executors can't see each other's
+    disks."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+#: Makes Spark drop a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is
-    cut, and any executor can read any part again after another one is lost."""
+    cut, and any executor can read any part again after another one is lost.
+    `discard` removes the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # Spark drops shuffle files once the driver has collected what refers to them
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_STORED: dict[int, tuple] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables of materialized frames that no later step reads."""
+    for frame in frames:
+        held, path = _STORED.pop(id(frame), (lambda: None, None))
+        if held() is frame:
+            target = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it off the taken ones."""
+    held, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key that holds more than one in so many rows is frequent; there are fewer such keys than that.
+SHARE = 1000
+
+
+def joined_evenly(left: DataFrame, right: DataFrame, key: str, frequent: DataFrame) -> DataFrame:
+    """left.join(right, key), where `right` has a row a key at most. The keys in
+    `frequent` (distinct, at most SHARE by the way they are chosen) are joined by
+    broadcast, so that no task gets all of a hot key's rows; others are shuffled."""
+    marked = left.join(F.broadcast(frequent.select(key, F.lit(True).alias("_hot"))), key, "left")
+    hot = marked.where("_hot").drop("_hot").join(F.broadcast(right.join(F.broadcast(frequent.select(key)), key, "left_semi")), key)
+    return marked.where("_hot is null").drop("_hot").join(right, key).unionByName(hot)
 
 
 def dealt_out(df: DataFrame, key: str, groups: int) -> DataFrame:

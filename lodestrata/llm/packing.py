@@ -23,9 +23,6 @@ from lodestrata.llm.common import dealt_out, materialize, ship, text_chunks
 
 #: Short pieces a block holds on average.
 BLOCK = 4096
-#: Rounds of local search over the underfull bins.
-ROUNDS = 8
-
 
 def token_pieces(docs: DataFrame, path: str, pattern: str, limit: int = 1024, end_id: int = 2, with_ids: bool = False, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids).
@@ -77,58 +74,72 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: list[int], bins: list[list[int]], limit: int, rounds: int = ROUNDS) -> list[list[int]]:
+def local_search(lengths: list[int], bins: list[list[int]], limit: int) -> list[list[int]]:
     """Raise the sum of squared fills by moves and exchanges between underfull
     bins. The emptiest bin gives to fuller ones: each gets the largest piece that
     fits, or the exchange (one for one, two of the giver's for one, or one for
-    two) that fills it most. A gain of the fuller bin always raises the sum, so
-    the search ends; bins that run empty are dropped."""
-    full = [b for b in bins if sum(lengths[i] for i in b) == limit]
-    open_ = [list(b) for b in bins if sum(lengths[i] for i in b) < limit]
-    for _ in range(rounds):
-        open_.sort(key=lambda b: sum(lengths[i] for i in b))
-        changed = False
-        for g in range(len(open_) - 1):
-            giver = open_[g]
-            for t in range(len(open_) - 1, g, -1):
-                taker = open_[t]
-                if not giver:
+    two) that fills it most. Bins that run empty are dropped.
+
+    The search ends when no pair of underfull bins has a gain left, or when there
+    are as few bins as the lengths' sum allows. It does end: what the fuller bin
+    gains raises the sum of squares by two at least, and that is at most
+    bins * limit ** 2. The first round looks at all pairs, later ones only at pairs
+    of which a bin has changed."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    open_ = [k for k in range(len(bins)) if fill[k] < limit]
+    bins = [list(b) for b in bins]
+    least = -(-sum(lengths) // limit)
+    stale = set(open_)  # bins that have changed since their pairs were looked at
+    while stale and sum(map(bool, bins)) > least:
+        open_ = sorted((k for k in open_ if 0 < fill[k] < limit), key=fill.__getitem__)
+        moved: set[int] = set()
+        for g, giver in enumerate(open_):
+            for taker in open_[:g:-1]:
+                if giver not in stale and taker not in stale and giver not in moved and taker not in moved:
+                    continue
+                if not fill[giver]:
                     break
-                gap = limit - sum(lengths[i] for i in taker)
-                if gap <= 0 or sum(lengths[i] for i in taker) < sum(lengths[i] for i in giver):
+                if fill[taker] == limit or fill[taker] < fill[giver]:
                     continue
-                best, trade = 0, None
-                mine = sorted({lengths[i] for i in giver})
-                k = bisect_right(mine, gap)
-                if k:
-                    best, trade = mine[k - 1], ((mine[k - 1],), ())
-                for out in {lengths[i] for i in taker}:
-                    k = bisect_right(mine, gap + out)
-                    if k and mine[k - 1] - out > best:
-                        best, trade = mine[k - 1] - out, ((mine[k - 1],), (out,))
-                    for x in range(len(giver)):
-                        for y in range(x):
-                            gain = lengths[giver[x]] + lengths[giver[y]] - out
-                            if best < gain <= gap:
-                                best, trade = gain, ((lengths[giver[x]], lengths[giver[y]]), (out,))
-                for x in range(len(taker)):
-                    for y in range(x):
-                        out = lengths[taker[x]] + lengths[taker[y]]
-                        k = bisect_right(mine, gap + out)
-                        if k and mine[k - 1] - out > best:
-                            best, trade = mine[k - 1] - out, ((mine[k - 1],), (lengths[taker[x]], lengths[taker[y]]))
+                trade = best_trade(lengths, bins[giver], bins[taker], limit - fill[taker])
                 if trade:
-                    changed = True
+                    moved |= {giver, taker}
                     for source, target, what in ((giver, taker, trade[0]), (taker, giver, trade[1])):
-                        for size in what:
-                            i = next(i for i in source if lengths[i] == size)
-                            source.remove(i)
-                            target.append(i)
-        full += [b for b in open_ if b and sum(lengths[i] for i in b) == limit]
-        open_ = [b for b in open_ if b and sum(lengths[i] for i in b) < limit]
-        if not changed:
-            break
-    return full + open_
+                        for i in what:
+                            bins[source].remove(i)
+                            bins[target].append(i)
+                            fill[source] -= lengths[i]
+                            fill[target] += lengths[i]
+        stale = moved
+    return [b for b in bins if b]
+
+
+def best_trade(lengths: list[int], giver: list[int], taker: list[int], gap: int) -> tuple[tuple, tuple] | None:
+    """What goes from giver to taker, and back, so that the taker gains most within its gap."""
+    mine, theirs = {lengths[i]: i for i in giver}, {lengths[i]: i for i in taker}
+    sizes = sorted(mine)
+    best, trade = 0, None
+    k = bisect_right(sizes, gap)
+    if k:
+        best, trade = sizes[k - 1], ((mine[sizes[k - 1]],), ())
+    twos = sorted({lengths[giver[x]] + lengths[giver[y]]: (giver[x], giver[y]) for x in range(len(giver)) for y in range(x)}.items())
+    sums = [t for t, _ in twos]
+    for out, i in theirs.items():
+        k = bisect_right(sizes, gap + out)
+        if k and sizes[k - 1] - out > best:
+            best, trade = sizes[k - 1] - out, ((mine[sizes[k - 1]],), (i,))
+        k = bisect_right(sums, gap + out)
+        if k and sums[k - 1] - out > best:
+            best, trade = sums[k - 1] - out, (twos[k - 1][1], (i,))
+    for x in range(len(taker)):
+        for y in range(x):
+            out = lengths[taker[x]] + lengths[taker[y]]
+            if sizes[-1] - out <= best:
+                continue
+            k = bisect_right(sizes, gap + out)
+            if k and sizes[k - 1] - out > best:
+                best, trade = sizes[k - 1] - out, ((mine[sizes[k - 1]],), (taker[x], taker[y]))
+    return trade
 
 
 def pack(pieces: DataFrame, limit: int = 1024, block: int = BLOCK) -> DataFrame:

@@ -110,7 +110,7 @@ def test_local_search_improves_and_keeps_all():
     for _ in range(30):
         lengths = [r.randint(100, 700) for _ in range(60)]
         worst = [[i] for i in range(60)]
-        out = local_search(lengths, worst, 1024, 40)
+        out = local_search(lengths, worst, 1024)
         assert sorted(i for b in out for i in b) == list(range(60)) and all(sum(lengths[i] for i in b) <= 1024 for b in out)
         assert len(out) < 60
         assert len(local_search(lengths, best_fit(lengths, 1024), 1024)) <= len(best_fit(lengths, 1024))
