@@ -241,10 +241,15 @@ _LOOSE = f" {_SPACE}| $"
 _CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85\u180e])")
 
 
+class CrossingToken(ValueError):
+    """The pattern lets a token cross a segment's end."""
+
+
 class TextCoder:
     """Ids of whole texts. A text is cut at every space before a non-space: in
     every pattern of this family a token begins there, whatever stands before.
-    Only the distinct segments of a chunk are encoded."""
+    Only the distinct segments of a chunk are encoded. Under a pattern of another
+    kind, where a token does cross a cut, the chunk's texts are encoded uncut."""
 
     def __init__(self, encode_parts):
         self.encode_parts = encode_parts  # strings, whether they may be joined -> ids, how many each has
@@ -252,6 +257,13 @@ class TextCoder:
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty) one text after the other, and how many each has."""
         texts = pc.fill_null(column, "").cast(pa.large_string())
+        try:
+            return self._by_segment(texts)
+        except CrossingToken:
+            ids, counts = self.encode_parts(texts, False)
+            return ids.astype("<u4"), counts
+
+    def _by_segment(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         loose = pc.match_substring_regex(texts, _LOOSE)
         place = np.concatenate([np.flatnonzero(~loose.to_numpy(zero_copy_only=False)), np.flatnonzero(loose.to_numpy(zero_copy_only=False))])
         tight = pc.split_pattern(texts.filter(pc.invert(loose)), " ")
@@ -379,8 +391,8 @@ def by_string(model: RankBPE, ids: np.ndarray, strings: pa.Array) -> np.ndarray:
     ends = np.cumsum(pieces_of(strings)[2])
     reach = np.concatenate([[0], np.cumsum(model.token_lengths[ids])])
     upto = np.searchsorted(reach, ends)
-    if (reach[upto] != ends).any():
-        raise AssertionError("a token crosses a segment's end")
+    if (reach[np.minimum(upto, len(ids))] != ends).any():
+        raise CrossingToken
     return np.diff(upto, prepend=0)
 
 

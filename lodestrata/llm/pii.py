@@ -3,8 +3,9 @@
 Candidates are found by one pattern and validated (Luhn's check, octets, social
 security areas, calendar dates). A validated value is read as an array of digits,
 each with a radix of its own, and goes through a keyed alternating Feistel
-network: in each round one half of the digits is shifted by a keyed hash of the
-other half, digit by digit modulo its radix. That is a permutation of the values
+network: in each round one half of the digits is shifted by an HMAC of the other
+half, digit by digit modulo its radix, with 32 bits of the HMAC for each digit and
+another HMAC for every eight of them. That is a permutation of the values
 of a format, so equal values get equal pseudonyms in all documents and different
 ones of a format stay different. Letters stay letters of their case, digits stay
 digits, a card number keeps a right check digit, a date stays a date.
@@ -12,7 +13,11 @@ digits, a card number keeps a right check digit, a date stays a date.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lodestrata.llm.common import fresh
 
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31: the domain of dates.
@@ -31,7 +36,7 @@ PATTERN = "|".join(
     (
         r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}+(?![\w-])",
         r"(?<![\w])AKIA[A-Z0-9]{16}(?![\w])",
-        r"(?<![\w])(?i:password|passwd|secret|token|api_key|apikey)(?-i)[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9+/_-]{8,}+",
+        r"(?<![\w])(?i:password|passwd|secret|token|api_key|apikey)(?-i)[ \t]{0,4}[=:][ \t]{0,4}[\"']?(?![A-Za-z][a-z]++(?![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{8,}+",
         r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
         r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]" + _RUN,
         r"(?<![\w+.-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]" + _RUN,
@@ -60,14 +65,43 @@ def _feistel(digits: str, radices: str, tweak: str) -> str:
     """SQL for the permuted digits (array of bigint), given SQL for the digits,
     their radices (arrays of bigint) and a string that tells formats apart."""
     half = "(size(z.r) + 1) div 2"
+    # even rounds shift the first half by the second, odd ones the second by the first
+    own = f"if(q % 2 = 0, {half}, size(s) - {half})"
     other = f"if(q % 2 = 0, slice(s, {half} + 1, greatest(size(s) - {half}, 0)), slice(s, 1, {half}))"
-    shift = "cast(conv(substr(h, 1 + (j % 8) * 8, 8), 16, 10) as bigint)"
+    message = f"concat_ws('|', z.t, cast(q as string), array_join(transform({other}, x -> cast(x as string)), ','))"
+    blocks = f"transform(sequence(0, greatest({own} - 1, 0) div 8), b -> {_hmac("concat(m, '|', cast(b as string))")})"
+    hashes = f"element_at(transform(array({message}), m -> {blocks}), 1)"
+    place = f"(j - if(q % 2 = 0, 0, {half}))"
+    shift = f"cast(conv(substr(h[{place} div 8], 1 + ({place} % 8) * 8, 8), 16, 10) as bigint)"
     one = f"transform(s, (d, j) -> if((j < {half}) = (q % 2 = 0), pmod(d + {shift}, z.r[j]), d))"
-    keyed = f"sha2(concat_ws('|', pii_key(), z.t, q, array_join(transform({other}, x -> cast(x as string)), ',')), 256)"
-    rounds = f"aggregate(sequence(0, {ROUNDS - 1}), z.d, (s, q) -> element_at(transform(array({keyed}), h -> {one}), 1))"
+    rounds = f"aggregate(sequence(0, {ROUNDS - 1}), z.d, (s, q) -> element_at(transform(array({hashes}), h -> {one}), 1))"
     return f"element_at(transform(array(named_struct('d', {digits}, 'r', {radices}, 't', {tweak})), z -> {rounds}), 1)"
 
 
+def _hmac(message: str) -> str:
+    """SQL for the HMAC-SHA256 of a string in hex; the key's two pads take the place of the marks."""
+    return f"sha2(concat(hmac_outer(), unhex(sha2(concat(hmac_inner(), cast({message} as binary)), 256))), 256)"
+
+
+def _pads(key: str | bytes) -> tuple[str, str]:
+    """SQL literals of a key's inner and outer pad."""
+    raw = key.encode() if isinstance(key, str) else key
+    padded = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    return tuple("X'" + bytes(b ^ pad for b in padded).hex() + "'" for pad in (0x36, 0x5C))
+
+
+#: What a key's pads look like in a plan.
+_SECRET = "[0-9a-fA-F]{128}"
+
+
+def hide_keys(spark: SparkSession) -> None:
+    """Have Spark cross out pads of keys wherever it prints a plan."""
+    name = "spark.sql.redaction.string.regex"
+    now = spark.conf.get(name, None) or ""
+    if _SECRET not in now:
+        spark.conf.set(name, f"{now}|{_SECRET}" if now else _SECRET)
+
+
 def _by_class(value: str, start: str, stop: str, tweak: str) -> str:
     """SQL for `value` with the characters from start to before stop (from 0)
     permuted within their class: digits, lower case, upper case; others stay."""
@@ -165,26 +199,31 @@ def _pseudonym() -> str:
         else {_by_class('m', "length(regexp_extract(m, r'^[+][0-9]+[ .-]?', 0))", 'length(m)', "'phone'")} end"""
 
 
-def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | bytes, column: str = "text") -> DataFrame:
     """docs with `column`'s personal data replaced by pseudonyms under `key`, and
     the columns pii_found (candidates) and pii_changed (replaced), both long. A run of
     digit groups counts as often as there are cards in it, once at least.
 
-    A null text stays null and counts zero; an empty one stays empty. Rows don't
-    depend on each other, so repeated rows stay equal, and an empty table gives
-    none. Existing columns named pii_found or pii_changed are replaced. One scan,
-    no shuffle, no Python.
+    A null text stays null and counts zero; an empty one stays empty. Texts may be of
+    any length. Rows don't depend on each other, so repeated rows stay equal, and an
+    empty table gives none. Existing columns named pii_found or pii_changed are
+    replaced; all others stay as they are, whatever their names. One scan, no
+    shuffle, no Python. The key is in the plan as its two HMAC pads, which
+    `hide_keys` has Spark cross out where it prints plans.
     """
-    literal = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rest = [c for c in docs.columns if c not in ("pii_found", "pii_changed", "_found", "_new")]
+    hide_keys(docs.sparkSession)
+    inner, outer = _pads(key)
+    rest = [c for c in docs.columns if c.lower() not in ("pii_found", "pii_changed")]
+    held, new = fresh(docs.columns, "_found", "_new")
     every = f"transform(regexp_extract_all(`{column}`, {_quoted(PATTERN)}, 0), m -> {_pieces()})"
-    found = docs.select(*rest, F.expr(every).alias("_found"))
-    each = f"if(p.stays, p.v, {_let('m', 'p.v', _pseudonym())})".replace("pii_key()", literal)
-    new = found.select(*rest, "_found", F.expr(f"transform(_found, ps -> transform(ps, p -> {each}))").alias("_new"))
+    columns = [F.col(f"`{c}`") for c in rest]
+    found = docs.select(*columns, F.expr(every).alias(held))
+    each = f"if(p.stays, p.v, {_let('m', 'p.v', _pseudonym())})".replace("hmac_inner()", inner).replace("hmac_outer()", outer)
+    made = found.select(*columns, held, F.expr(f"transform(`{held}`, ps -> transform(ps, p -> {each}))").alias(new))
     parts = f"split(`{column}`, {_quoted(PATTERN)}, -1)"
-    joined = f"element_at(transform(array({parts}), p -> concat(p[0], array_join(zip_with(_new, slice(p, 2, size(_new)), (m, s) -> concat(array_join(m, ''), s)), ''))), 1)"
-    text = F.expr(f"if(size(_found) > 0, {joined}, `{column}`)").alias(column)
+    joined = f"element_at(transform(array({parts}), p -> concat(p[0], array_join(zip_with(`{new}`, slice(p, 2, size(`{new}`)), (m, s) -> concat(array_join(m, ''), s)), ''))), 1)"
+    text = F.expr(f"if(size(`{held}`) > 0, {joined}, `{column}`)").alias(column)
     count = lambda each: F.coalesce(F.expr(f"aggregate({each}, 0L, (x, y) -> x + y)"), F.lit(0)).cast("long")
-    candidates = count("transform(_found, ps -> greatest(1, size(filter(ps, p -> not p.stays))))")
-    changed = count("transform(flatten(zip_with(_found, _new, (ps, ns) -> zip_with(ps, ns, (p, n) -> p.v <=> n))), same -> if(same, 0, 1))")
-    return new.select(*(text if c == column else F.col(f"`{c}`") for c in rest), candidates.alias("pii_found"), changed.alias("pii_changed"))
+    candidates = count(f"transform(`{held}`, ps -> greatest(1, size(filter(ps, p -> not p.stays))))")
+    changed = count(f"transform(flatten(zip_with(`{held}`, `{new}`, (ps, ns) -> zip_with(ps, ns, (p, n) -> p.v <=> n))), same -> if(same, 0, 1))")
+    return made.select(*(text if c == column else F.col(f"`{c}`") for c in rest), candidates.alias("pii_found"), changed.alias("pii_changed"))

@@ -348,3 +348,109 @@ def test_one_more_shard_moves_few_rows(spark):
     before, after = (sharding.shard_documents(df, n).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (12, 13))
     moved = before.join(after, "doc_id").where("s12 <> s13").count()
     assert moved < 6000 * 0.35  # a plain modulus moves over nine tenths
+
+
+def twin_shift(key, message):
+    import hmac
+
+    return hmac.new(key, message.encode(), hashlib.sha256).hexdigest()
+
+
+def twin_feistel(digits, radices, tweak, key=b"k"):
+    """The permutation, computed anew."""
+    s, half = list(digits), (len(radices) + 1) // 2
+    for q in range(pii.ROUNDS):
+        own, other = (range(half), s[half:]) if q % 2 == 0 else (range(half, len(s)), s[:half])
+        for k, j in enumerate(own):
+            block = twin_shift(key, f"{tweak}|{q}|{','.join(map(str, other))}|{k // 8}")
+            s[j] = (s[j] + int(block[k % 8 * 8 : k % 8 * 8 + 8], 16)) % radices[j]
+    return s
+
+
+def twin_class(value, start, stop, tweak):
+    part = value[start:stop].encode()
+    base = [next((b for b, n in ((48, 10), (97, 26), (65, 26)) if b <= c < b + n), c) for c in part]
+    radix = [{48: 10, 97: 26, 65: 26}.get(b, 1) for b in base]
+    moved = twin_feistel([c - b for c, b in zip(part, base)], radix, tweak + ",".join(map(str, base)))
+    return value[:start] + bytes(x + b for x, b in zip(moved, base)).decode() + value[stop:]
+
+
+def twin(kind, v):
+    import datetime as dt
+
+    if kind == "email":
+        return twin_class(v, 0, v.index("@"), "email")
+    if kind == "key":
+        return twin_class(v, 4, len(v), "key")
+    if kind == "secret":
+        return twin_class(v, len(re.match(r"[A-Za-z_]+[ \t]*[=:][ \t]*[^A-Za-z0-9+/_-]?", v)[0]), len(v), "secret")
+    if kind == "phone":
+        return twin_class(v, len(re.match(r"(?:[+][0-9]+[ .-]?)?", v)[0]), len(v), "phone")
+    if kind == "ip":
+        return ".".join(map(str, twin_feistel([int(x) for x in v.split(".")], [256] * 4, "ip")))
+    if kind == "ssn":
+        a, g, n = map(int, v.split("-"))
+        a, g, n = twin_feistel([a - (2 if a > 666 else 1), g - 1, n - 1], [898, 99, 9999], "ssn")
+        return f"{a + (2 if a >= 665 else 1):03}-{g + 1:02}-{n + 1:04}"
+    if kind == "date":
+        n = (dt.date.fromisoformat(v) - dt.date(1900, 1, 1)).days
+        while True:
+            a, b = twin_feistel([n // 270, n % 270], [271, 270], "date")
+            n = a * 270 + b
+            if n < pii.DAYS:
+                return str(dt.date(1900, 1, 1) + dt.timedelta(n))
+    body = twin_class(v, 0, len(v) - 1, "card")[:-1]
+    return body + next(c for c in "0123456789" if luhn(re.sub("[ -]", "", body + c)))
+
+
+def card_of(r):
+    body = "".join(r.choice("0123456789") for _ in range(15))
+    return body + next(c for c in "0123456789" if luhn(body + c))
+
+
+def test_pseudonyms_against_a_twin(spark):
+    r = random.Random(9)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    cards = [card_of(r) for _ in range(12)]
+    values = [("email", x) for x in ("a@b.example", "Jane.Doe-19+x%@mail5.example.com", "very.long.local.part.of.an.address.12345@x.org")]
+    values += [("key", "AKIA" + "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(16))) for _ in range(3)]
+    values += [("secret", f"{n}{''.join(r.choice(string.ascii_letters + '0123456789+/_-') for _ in range(40))}7") for n in ("token = ", "password:", "API_KEY='")]
+    values += [("phone", x) for x in ("+1 (521) 555-6210", "521 555 6210", "(521) 555-6210")] + [("ip", x) for x in ("152.143.123.131", "0.0.0.0", "255.1.2.3")]
+    values += [("ssn", x) for x in ("123-45-6789", "899-99-9999", "001-01-0001", "665-10-1000", "667-10-1000")] + [("date", f"{r.randint(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}") for _ in range(20)]
+    values += [("card", x) for x in cards] + [("card", " ".join(x[i : i + 4] for i in (0, 4, 8, 12))) for x in cards]
+    got = {x.doc_id: x.text for x in pii.pseudonymise(frame(spark, [(i, v, None) for i, (_, v) in enumerate(values)]), "k").collect()}
+    for i, (kind, v) in enumerate(values):
+        assert got[i] == twin(kind, v), v
+
+
+def test_no_difference_of_digits_survives(spark):
+    r = random.Random(10)
+    cards = [card_of(r) for _ in range(60)]
+    secrets = ["".join(r.choice(string.ascii_lowercase) for _ in range(40)) + "7" for _ in range(60)]
+    rows = [(i, x, None) for i, x in enumerate(cards)] + [(100 + i, f"token={x}", None) for i, x in enumerate(secrets)]
+    got = {x.doc_id: x.text.removeprefix("token=") for x in pii.pseudonymise(frame(spark, rows), "k").collect()}
+    for old, new, radix in ((cards, [got[i] for i in range(60)], 10), (secrets, [got[100 + i] for i in range(60)], 26)):
+        n = min(map(len, old)) - 1
+        for a in range(n):
+            for b in range(a):
+                same = sum((ord(x[a]) - ord(x[b]) - ord(y[a]) + ord(y[b])) % radix == 0 for x, y in zip(old, new))
+                assert same <= 60 / radix + 6 * (60 / radix) ** 0.5, (a, b)
+
+
+def test_private_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, "mail a.b@example.com", "x", 5, "y")], "doc_id long, text string, _found string, PII_found long, _New string")
+    out = pii.pseudonymise(df, "k")
+    assert out.columns == ["doc_id", "text", "_found", "_New", "pii_found", "pii_changed"]
+    row = out.first()
+    assert (row["_found"], row["_New"], row.pii_found, row.pii_changed) == ("x", "y", 1, 1)
+
+
+def test_prose_after_a_secrets_name_stays(spark):
+    rows = [(0, "token: something else, password: Sunshine and secret: abcdefgh", None), (1, "password: sunshine1", None), (2, "token=" + "abcd" * 20 + "-x", None)]
+    got = [x.pii_changed for x in pii.pseudonymise(frame(spark, rows), "k").orderBy("doc_id").collect()]
+    assert got == [0, 1, 1]
+
+
+def test_keys_are_crossed_out_in_plans(spark):
+    plan = pii.pseudonymise(frame(spark, [(1, "x", None)]), "a key that nobody may see")._jdf.queryExecution().toString()
+    assert not re.search("[0-9a-fA-F]{128}", plan)

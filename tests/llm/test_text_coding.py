@@ -43,6 +43,20 @@ def test_ids_are_those_of_the_libraries():
         assert split(*kind(JSON, P.PATTERN)[1](pa.array(texts))) == wanted
 
 
+def test_patterns_whose_tokens_cross_spaces():
+    pattern, texts = r"[a-z ]+|.|\n", ["one two three", "a b", None, "x  y z"]
+    ranks = {bytes([b]): b for b in range(256)} | {b"e ": 256, b"e t": 257}
+    reference = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    model = bpe.RankBPE(ranks, bpe.pairs_of_ranks(ranks))
+
+    def encode_parts(strings, together):
+        parts = strings.to_pylist()
+        ids = [i for x in (["".join(parts)] if together else parts) for i in reference.encode_ordinary(x)]
+        return np.array(ids, np.int64), bpe.by_string(model, np.array(ids, np.int64), strings)
+
+    assert split(*bpe.TextCoder(encode_parts)(pa.array(texts))) == [reference.encode_ordinary(x or "") for x in texts]
+
+
 def test_added_tokens_are_those_of_the_library():
     end = "<|endoftext|>"
     texts = [*ODD, end, end * 3, f"a  {end}\n b", f" {end} {end} x", f"x<|endoftext{end}|> 's", f"{end[:-1]} >", *(end.join(random_texts(5)) for _ in range(40)), *random_texts(100)]
