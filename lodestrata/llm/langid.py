@@ -10,7 +10,12 @@ words, and each distinct word of a chunk is scored once.
 Training is one expectation step: with equal weights for all pieces, forward and
 backward sums give each piece's expected count in each word; the counts of a
 language's words weigh them. A character outside the vocabulary is the unknown
-piece. Runs over STRETCH characters are scored in stretches of that length.
+piece.
+
+Words of any length are summed whole. They are worked on in stretches of positions;
+from one to the next goes a window of forward (or backward) sums as wide as the
+longest piece, so memory doesn't grow with a word's length but for a window at the
+start of each stretch in training.
 """
 
 from __future__ import annotations
@@ -23,7 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 from lodestrata.llm.common import ship, text_chunks
 
 MARK = "▁"
-STRETCH = 64
+#: Positions worked on together, and starts of pieces in them, at most.
+STRETCH, STARTS = 64, 1 << 18
+#: Sums that the windows of words scored together hold.
+CELLS = 1 << 20
 #: Added to each expected count.
 SMOOTHING = 0.1
 CHUNK = 4 << 20
@@ -83,25 +91,48 @@ class Vocabulary:
             open_ = open_[~hit & (at >= 0)]
         return out
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every piece in every word (at most STRETCH characters each), ordered
-        by end and then word: word, start, end, piece; and the words' lengths."""
-        lengths = np.array([len(x) for x in words], np.int64)
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        offsets = np.cumsum(lengths) - lengths
-        word = np.repeat(np.arange(len(words)), lengths)
-        left = np.repeat(lengths + offsets, lengths) - np.arange(len(points))  # characters from here to the word's end
-        active = np.arange(len(points))
-        hashes = np.zeros(len(points), np.uint64)
+class Group:
+    """Words that are scored together, longest first, and the pieces in them."""
+
+    def __init__(self, voc: Vocabulary, words: list[str]):
+        self.voc = voc
+        self.lengths = np.array([len(x) for x in words], np.int64)
+        if (np.diff(self.lengths) > 0).any():
+            raise ValueError("words have to come longest first")
+        self.points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.top = int(self.lengths[0]) if len(words) else 0
+        self.width = voc.longest + 1
+
+    def longer(self, i: int) -> int:
+        """How many words have more than i characters; they are the first ones."""
+        return int(np.searchsorted(-self.lengths, -i, side="left"))
+
+    def stretches(self) -> list[tuple[int, int]]:
+        out, a = [], 0
+        while a < self.top:
+            b = min(self.top, a + max(1, min(STRETCH, STARTS // max(1, self.longer(a)))))
+            out.append((a, b))
+            a = b
+        return out
+
+    def edges(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every piece that starts at a position from a to before b: word, size and
+        piece, ordered by position and then word; and where each position's begin."""
+        voc, alive = self.voc, np.array([self.longer(i) for i in range(a, b)], np.int64)
+        position = np.repeat(np.arange(a, b), alive)
+        word = np.arange(len(position)) - np.repeat(np.cumsum(alive) - alive, alive)
+        at, left = self.offsets[word] + position, self.lengths[word] - position
+        active, hashes = np.arange(len(position)), np.zeros(len(position), np.uint64)
+        known = np.zeros(len(position), bool)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        known = np.zeros(len(points), bool)
-        for n in range(1, self.longest + 1):
+        for n in range(1, voc.longest + 1):
             stay = left[active] >= n
             active, hashes = active[stay], hashes[stay]
             if not len(active):
                 break
-            hashes = _step(hashes, points[active + n - 1])
-            piece = self.find(hashes)
+            hashes = _step(hashes, self.points[at[active] + n - 1])
+            piece = voc.find(hashes)
             is_piece = piece >= 0
             if n == 1:
                 known[active[is_piece]] = True
@@ -109,12 +140,37 @@ class Vocabulary:
             stay = piece > -2
             active, hashes = active[stay], hashes[stay]
         lone = np.flatnonzero(~known)
-        found.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), self.unknown)))
-        at, size, piece = map(np.concatenate, zip(*found))
-        start = at - offsets[word[at]]
-        end = start + size
-        order = np.lexsort((word[at], end))
-        return word[at][order], start[order], end[order], piece[order], lengths
+        found.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), voc.unknown)))
+        start, size, piece = map(np.concatenate, zip(*found))
+        order = np.argsort(start, kind="stable")
+        start = start[order]
+        return word[start], size[order], piece[order], np.searchsorted(start, np.concatenate([[0], np.cumsum(alive)]))
+
+    def begin(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A window of forward sums at position 0, and its logarithmic scale."""
+        window = np.zeros((self.width, len(self.lengths), k))
+        window[0] = 1
+        return window, np.zeros((len(self.lengths), k))
+
+    def advance(self, state, edges, a: int, b: int, table: np.ndarray, totals: np.ndarray, kept: list | None = None) -> None:
+        """Carry the forward sums from position a to b. Slot i % width of the window
+        holds the sums at position i; words that end get their totals."""
+        (window, scale), (word, size, piece, bounds) = state, edges
+        for i in range(a, b):
+            lo, hi = bounds[i - a], bounds[i - a + 1]
+            slot, n = i % self.width, self.longer(i)
+            if kept is not None:
+                kept.append((window[slot, :n].copy(), scale[:n].copy()))
+            window[(i + size[lo:hi]) % self.width, word[lo:hi]] += window[slot, word[lo:hi]] * table[piece[lo:hi]]
+            window[slot] = 0
+            rest = self.longer(i + 1)
+            if rest < n:
+                totals[rest:n] = np.log(window[(i + 1) % self.width, rest:n]) + scale[rest:n]
+                window[:, rest:n] = 0
+            if i % 8 == 7 and rest:
+                peak = window[:, :rest].max(axis=0)
+                window[:, :rest] /= peak
+                scale[:rest] += np.log(peak)
 
 
 def _step(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -130,47 +186,48 @@ def _hash(piece: str) -> int:
     return int(h[0])
 
 
-def forward(edges, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over all segmentations. weights: languages x pieces. Returns, scaled
-    at each position, alpha (position, word, language), the log of the words'
-    sums (word, language), and the log scales (position, word)."""
-    word, start, end, piece, lengths = edges
-    top = int(lengths.max()) if len(lengths) else 0
-    n, k = len(lengths), len(weights)
-    table = np.ascontiguousarray(weights.T)
-    alpha = np.zeros((top + 1, n, k))
-    alpha[0] = 1
-    scale = np.zeros((top + 1, n))
-    bounds = np.searchsorted(end, np.arange(1, top + 2))
-    totals = np.zeros((n, k))
-    for j in range(1, top + 1):
-        a, b = bounds[j - 1], bounds[j]
-        w, s = word[a:b], start[a:b]
-        if not len(w):
-            continue
-        part = alpha[s, w] * table[piece[a:b]] * np.exp(scale[s, w] - scale[j - 1, w])[:, None]
-        first = np.flatnonzero(np.diff(w, prepend=-1))
-        sums, here = np.add.reduceat(part, first), w[first]
-        peak = sums.max(axis=1)
-        alpha[j, here] = sums / peak[:, None]
-        scale[j, here] = scale[j - 1, here] + np.log(peak)
-    rows = np.arange(n)
-    with np.errstate(divide="ignore"):
-        totals = np.log(alpha[lengths, rows]) + scale[lengths, rows][:, None]
-    return alpha, totals, scale
-
-
-def expected(edges, weights: np.ndarray) -> np.ndarray:
-    """The probability of each edge in its word's segmentations, for one set of weights."""
-    word, start, end, piece, lengths = edges
-    alpha, totals, scale = forward(edges, weights[None, :])
-    turned = lengths[word] - end, lengths[word] - start
-    order = np.lexsort((word, turned[1]))
-    mirrored = word[order], turned[0][order], turned[1][order], piece[order], lengths
-    beta, _, back = forward(mirrored, weights[None, :])
-    before = np.log(np.maximum(alpha[start, word, 0], 1e-300)) + scale[start, word]
-    after = np.log(np.maximum(beta[turned[0], word, 0], 1e-300)) + back[turned[0], word]
-    return np.exp(before + np.log(weights[piece]) + after - totals[word, 0])
+def forward(group: Group, weights: np.ndarray) -> np.ndarray:
+    """The logarithm of each word's sum over all segmentations in each language
+    (word, language). weights: languages x pieces."""
+    table, totals = np.ascontiguousarray(weights.T), np.zeros((len(group.lengths), len(weights)))
+    state = group.begin(len(weights))
+    for a, b in group.stretches():
+        group.advance(state, group.edges(a, b), a, b, table, totals)
+    return totals
+
+
+def expected(group: Group, weights: np.ndarray):
+    """Yield word, size, piece and probability of each piece in its word's segmentations, for one set of weights."""
+    table, totals = weights[:, None], np.zeros((len(group.lengths), 1))
+    state, starts, stretches = group.begin(1), [], group.stretches()
+    for a, b in stretches:
+        if len(stretches) > 1:
+            starts.append((state[0].copy(), state[1].copy()))
+        edges = group.edges(a, b)
+        group.advance(state, edges, a, b, table, totals)
+    window, scale = np.zeros((group.width, len(group.lengths))), np.zeros(len(group.lengths))
+    for a, b in stretches[::-1]:
+        if len(stretches) > 1:
+            edges = group.edges(a, b)
+        word, size, piece, bounds = edges
+        alphas: list = []
+        group.advance(starts.pop() if starts else group.begin(1), edges, a, b, table, np.zeros_like(totals), alphas)
+        share = np.zeros(len(word))
+        for i in range(b - 1, a - 1, -1):
+            lo, hi = bounds[i - a], bounds[i - a + 1]
+            n, slot = group.longer(i), i % group.width
+            window[(i + 1) % group.width, group.longer(i + 1) : n] = 1  # words that end here
+            w = word[lo:hi]
+            after = window[(i + size[lo:hi]) % group.width, w] * weights[piece[lo:hi]]
+            alpha, logs = alphas[i - a]
+            share[lo:hi] = alpha[w, 0] * after * np.exp(logs[w, 0] + scale[w] - totals[w, 0])
+            window[slot] = 0
+            window[slot, :n] = np.add.reduceat(after, np.flatnonzero(np.diff(w, prepend=-1)))
+            if i % 8 == 0:
+                peak = window[:, :n].max(axis=0)
+                window[:, :n] /= peak
+                scale[:n] += np.log(peak)
+        yield word, size, piece, share
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -183,7 +240,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Row and distinct word of each word of the texts, and the distinct words, marked and cut to stretches."""
+    """Row and distinct word of each word of the texts, and the distinct words, marked."""
     lists = pc.utf8_split_whitespace(pc.fill_null(column, "").cast(pa.large_string()))
     found = lists.flatten().dictionary_encode()
     which = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -196,16 +253,13 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return row[stay], which[stay], [MARK + x for x in distinct]
 
 
-def _stretched(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """The words cut to stretches, and the word of each."""
-    if all(len(x) <= STRETCH for x in words):
-        return words, np.arange(len(words))
-    parts = [(x[i : i + STRETCH], k) for k, x in enumerate(words) for i in range(0, len(x), STRETCH)]
-    return [x for x, _ in parts], np.array([k for _, k in parts], np.int64)
-
-
-#: Words scored together.
-_GROUP = 16_384
+def _groups(voc: Vocabulary, words: list[str], languages: int):
+    """The words in groups of bounded size, longest first: their places, and the group."""
+    order = np.argsort([-len(x) for x in words], kind="stable")
+    step = max(64, CELLS // (languages * (voc.longest + 1)))
+    for k in range(0, len(words), step):
+        chosen = order[k : k + step]
+        yield chosen, Group(voc, [words[i] for i in chosen])
 
 
 def train(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
@@ -226,15 +280,12 @@ def train(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
             if not len(which):
                 continue
             counts = np.bincount(which * len(names) + lang, minlength=len(words) * len(names)).reshape(-1, len(names))
-            parts, of = _stretched(words)
-            by_length = np.argsort([len(x) for x in parts], kind="stable")
-            for k in range(0, len(parts), _GROUP):
-                chosen = by_length[k : k + _GROUP]
-                edges = voc.edges([parts[i] for i in chosen])
-                share = expected(edges, uniform)
-                for i, name in enumerate(names):
-                    into = sums.setdefault(name, np.zeros(voc.size))
-                    into += np.bincount(edges[3], share * counts[of[chosen], i][edges[0]], minlength=voc.size)
+            for chosen, group in _groups(voc, words, 1):
+                mine = counts[chosen]
+                for word, _, piece, share in expected(group, uniform):
+                    for i, name in enumerate(names):
+                        into = sums.setdefault(name, np.zeros(voc.size))
+                        into += np.bincount(piece, share * mine[word, i], minlength=voc.size)
         for name, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], ["lang", "piece", "n"])
@@ -266,12 +317,9 @@ def predict(docs: DataFrame, path: str, langs: list[str], weights: np.ndarray) -
             names, scores = ["und"] * len(column), np.zeros(len(column))
             if langs and lettered.any():
                 row, which, words = _words(column)
-                parts, of = _stretched(words)
                 by_word = np.zeros((len(words), len(langs)))
-                by_length = np.argsort([len(x) for x in parts], kind="stable")
-                for k in range(0, len(parts), _GROUP):
-                    chosen = by_length[k : k + _GROUP]
-                    np.add.at(by_word, of[chosen], forward(voc.edges([parts[i] for i in chosen]), weights)[1])
+                for chosen, group in _groups(voc, words, len(langs)):
+                    by_word[chosen] = forward(group, weights)
                 logs = np.stack([np.bincount(row, by_word[which, i], minlength=len(column)) for i in range(len(langs))], axis=1)
                 best = logs.argmax(axis=1)
                 posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)

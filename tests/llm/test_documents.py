@@ -174,34 +174,82 @@ def test_repeated_strings_of_nothing(spark):
 # languages
 
 
-def test_forward_sums_all_segmentations():
-    voc = langid.vocabulary(MODEL)
-    rng = np.random.default_rng(1)
-    weights = rng.random((2, voc.size))
-    weights /= weights.sum(axis=1, keepdims=True)
-    words = ["▁the", "▁", "▁añ\u0001ío", "▁interna"]
-
-    def brute(word, w):
-        ends = [1.0] + [0.0] * len(word)
-        for j in range(1, len(word) + 1):
-            for i in range(j):
-                edges = voc.edges([word])
-                ends[j] += sum(ends[i] * w[p] for p, s, e in zip(edges[3], edges[1], edges[2]) if (s, e) == (i, j))
-        return np.log(ends[-1])
-
-    totals = langid.forward(voc.edges(words), weights)[1]
-    assert np.allclose(totals, [[brute(x, w) for w in weights] for x in words])
+def brute_pieces():
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    edges = voc.edges(["▁the"])
-    found = {"▁the"[s:e] for s, e in zip(edges[1], edges[2])}
-    assert found == {x for i in range(4) for j in range(i + 1, 5) if model.piece_to_id(x := "▁the"[i:j]) != model.unk_id()}
-    share = langid.expected(voc.edges(words), weights[0])
-    edges = voc.edges(words)
-    for k, word in enumerate(words):
-        covered = sum(p * (e - s) for p, s, e, w in zip(share, edges[1], edges[2], edges[0]) if w == k)
-        assert np.isclose(covered, len(word))
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    return {x: i for i in ids if "\u2581" not in (x := model.id_to_piece(i))[1:]}, model.unk_id()
+
+
+def brute_edges(word, pieces, unknown):
+    """(start, end, piece) of every piece in the word."""
+    longest = max(map(len, pieces))
+    found = [(i, j, pieces[word[i:j]]) for i in range(len(word)) for j in range(i + 1, min(len(word), i + longest) + 1) if word[i:j] in pieces]
+    return found + [(i, i + 1, unknown) for i, c in enumerate(word) if c not in pieces]
+
+
+def brute_sums(word, w, edges):
+    """Logarithms of the forward sums at each position."""
+    ends = np.full(len(word) + 1, -np.inf)
+    ends[0] = 0
+    for i, j, p in sorted(edges):
+        ends[j] = np.logaddexp(ends[j], ends[i] + np.log(w[p]))
+    return ends
+
+
+@pytest.mark.parametrize("starts", [1 << 18, 3])
+def test_forward_sums_all_segmentations(monkeypatch, starts):
+    monkeypatch.setattr(langid, "STARTS", starts)
+    voc = langid.vocabulary(MODEL)
+    pieces, unknown = brute_pieces()
+    rng = np.random.default_rng(1)
+    weights = rng.random((2, voc.size)) ** 9
+    weights /= weights.sum(axis=1, keepdims=True)
+    r = random.Random(5)
+    words = ["the", "", "añ\u0001ío", "interna", "x" * 300, "日本語の長い文です" * 40, "".join(r.choice("abcdefgeee日本\U0001f600") for _ in range(700))] + ["".join(r.choice("theinga") for _ in range(r.randint(1, 150))) for _ in range(30)]
+    words = sorted(("\u2581" + x for x in words), key=len, reverse=True)
+    edges = [brute_edges(x, pieces, unknown) for x in words]
+    group = langid.Group(voc, words)
+    totals = langid.forward(group, weights)
+    assert np.allclose(totals, [[brute_sums(x, w, e)[-1] for w in weights] for x, e in zip(words, edges)])
+    # expected counts: forward times backward sums
+    got = np.zeros((len(words), voc.size))
+    for word, _, piece, share in langid.expected(group, weights[0]):
+        np.add.at(got, (word, piece), share)
+    for k, (x, e) in enumerate(zip(words, edges)):
+        before, n = brute_sums(x, weights[0], e), len(x)
+        after = brute_sums(x, weights[0], [(n - j, n - i, p) for i, j, p in e])
+        want = np.zeros(voc.size)
+        for i, j, p in e:
+            want[p] += np.exp(before[i] + np.log(weights[0][p]) + after[n - j] - before[n])
+        assert np.allclose(got[k], want, atol=1e-9)
+
+
+def test_training_and_prediction_against_brute_force(spark):
+    rows = [(i, t, l) for i, (t, l) in enumerate([("the cat and the dog", "en"), ("el perro y la gata", "es"), ("the dog " + "la" * 200, "en"), (None, "en"), ("la casa", None), ("and the house", "en"), ("y la casa de la", "es"), ("12 3", "es"), ("dog casa " + "the" * 90, None), ("ÿ\u0001 the", "es")])]
+    held = lambda i: __import__("zlib").crc32(str(i).encode()) % 4 == 2
+    pieces, unknown = brute_pieces()
+    voc = langid.vocabulary(MODEL)
+    uniform, counts = np.full(voc.size, 1 / voc.size), {}
+    for i, t, l in rows:
+        if t is not None and l is not None and not held(i):
+            for x in t.split():
+                x = "\u2581" + x
+                e = brute_edges(x, pieces, unknown)
+                before, after = brute_sums(x, uniform, e), brute_sums(x, uniform, [(len(x) - j, len(x) - a, p) for a, j, p in e])
+                for a, j, p in e:
+                    counts.setdefault(l, np.full(voc.size, langid.SMOOTHING))[p] += np.exp(before[a] + np.log(uniform[p]) + after[len(x) - j] - before[-1])
+    langs = sorted(counts)
+    weights = np.stack([counts[x] / counts[x].sum() for x in langs])
+    got = {r.doc_id: r for r in langid.learn_and_predict(frame(spark, rows), MODEL).collect()}
+    for i, t, _ in rows:
+        if t is None or not re.search(r"[^\W\d_]", t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        logs = np.array([sum(brute_sums("\u2581" + x, w, brute_edges("\u2581" + x, pieces, unknown))[-1] for x in t.split()) for w in weights])
+        best = int(logs.argmax())
+        assert got[i].lang_pred == langs[best] and np.isclose(got[i].score, 1 / np.exp(logs - logs[best]).sum()) and got[i].held_out == held(i)
 
 
 def test_held_out_accuracy(spark, sf):
