@@ -7,9 +7,12 @@ shard has room. Capacities are the table's rows dealt as evenly as can be, so
 counts differ by one at most, and a key moves only where a shard overflows or the
 number of shards changes.
 
-The arcs are cut into cells by a salt, and only the cells' row counts (a bounded
-number: shards * places * salts) reach the driver, which works out which ranks of
-each cell go to which shard. Rows are then numbered within their cell.
+The arcs are cut into cells by a hash of id and content, and only the cells' row
+counts (a bounded number: shards * places * salts) reach the driver, which works out
+which ranks of each cell go to which shard. Rows are then numbered within their cell.
+Rows that are equal in id, size and content are counted first and numbered together,
+so a place depends on what the table holds, never on the order or the files it
+comes in, and a row that is repeated very often is one row until the end.
 """
 
 from __future__ import annotations
@@ -65,13 +68,19 @@ def plan(counts: np.ndarray, owner: np.ndarray, salts: int, shards: int) -> dict
     return dict(zip(("cell", "first", "stop", "shard", "slot"), columns.T))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, places: int = 64, salts: int = 16) -> DataFrame:
+#: Places of equal rows that are written out by one task.
+RUN = 1 << 16
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, places: int = 64, salts: int = 64) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
-    A null text has no bytes: size 8, CRC 0. A null doc_id is a key of its own.
-    Repeated rows are rows: each gets a slot. Ties on the ring (equal ids) are
-    ordered by CRC and size. An empty table gives no rows. Text is read once and
-    not shuffled; a cell's rows, not a key's, meet in one task.
+    A null text has no bytes: size 8, CRC 0. Texts may be of any length: only their
+    size and CRC are kept. A null doc_id is a key of its own. Repeated rows are rows:
+    each gets a slot. Ties on the ring (equal ids) are ordered by CRC and size; rows
+    that tie in all of these are equal in all that is returned. An empty table gives
+    no rows; other columns play no part. Text is read once and not shuffled; a cell's
+    rows, not a key's, meet in one task.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -79,25 +88,44 @@ def shard_documents(docs: DataFrame, shards: int = 24, places: int = 64, salts:
 
     def cells(batches):
         for batch in batches:
-            spot = batch.column(3).to_numpy(zero_copy_only=False)
-            arc = np.searchsorted(at, spot) % len(at)
+            arc = np.searchsorted(at, batch.column(3).to_numpy(zero_copy_only=False)) % len(at)
             salt = batch.column(4).to_numpy(zero_copy_only=False) % salts
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(arc * salts + salt, pa.int32())], ["doc_id", "size", "text_crc32", "spot", "cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(arc * salts + salt, pa.int32()), batch.column(5)], ["doc_id", "size", "text_crc32", "spot", "cell", "n"])
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64(F.col("doc_id").cast("long")).alias("spot"),
-        F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("long").alias("salt"),
     )
-    rows = materialize(rows.mapInArrow(cells, "doc_id long, size long, text_crc32 long, spot long, cell int"), "cells")
+    kinds = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    salted = kinds.select("doc_id", "size", "text_crc32", F.xxhash64("doc_id").alias("spot"), F.pmod(F.xxhash64("text_crc32", "size", "doc_id"), F.lit(1 << 20)).alias("salt"), "n")
+    kinds = materialize(salted.mapInArrow(cells, "doc_id long, size long, text_crc32 long, spot long, cell int, n long"), "cells")
     counts = np.zeros(len(at) * salts, np.int64)
-    for cell, n in rows.groupBy("cell").count().collect():  # shards * places * salts rows at most
+    for cell, n in kinds.groupBy("cell").agg(F.sum("n")).collect():  # shards * places * salts rows at most
         counts[cell] = n
     dealt = plan(counts, owner, salts, shards)
     ranges = spark.createDataFrame(pa.table({"_cell": pa.array(dealt["cell"], pa.int32()), **{k: pa.array(dealt[k], pa.int64()) for k in ("first", "stop", "slot")}, "shard": pa.array(dealt["shard"], pa.int32())}))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("spot", "doc_id", "text_crc32", "size")).cast("long") - 1
+    upto = F.sum("n").over(Window.partitionBy("cell").orderBy("spot", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = kinds.withColumn("upto", upto).withColumn("rank", F.col("upto") - F.col("n"))
     # ranges: at most one row a cell, and one more for each shard that fills up
-    placed = rows.withColumn("rank", rank).join(F.broadcast(ranges), (F.col("cell") == F.col("_cell")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop")))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("slot") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    meet = (F.col("cell") == F.col("_cell")) & (F.col("rank") < F.col("stop")) & (F.col("upto") > F.col("first"))
+    low, high = F.greatest("rank", "first"), F.least("upto", "stop")
+    placed = ranked.join(F.broadcast(ranges), meet).select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + low - F.col("first")).alias("a"), (F.col("slot") + high - F.col("first")).alias("b"))
+    # equal rows are dealt out by runs of places, so that one row repeated without end isn't one task's work
+    runs = placed.select("doc_id", "size", "text_crc32", "shard", "b", F.explode(F.sequence("a", F.col("b") - 1, F.lit(RUN).cast("long"))).alias("a")).hint("rebalance")
+    each = runs.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence("a", F.least(F.col("a") + RUN, "b") - 1)).alias("slot"))
+    return each.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def moved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How many rows of two results with numbers of shards that differ by one stand on
+    another shard (moved), and how many of them not on the new one (between_old).
+    Rows that tie in all of doc_id, size and CRC count as staying where they can."""
+    keys = ["doc_id", "size", "text_crc32"]
+    new = after.agg(F.max("shard")).first()[0]
+    a = before.groupBy(*keys, "shard").agg(F.count("*").alias("n")).alias("a")
+    b = after.groupBy(*keys, "shard").agg(F.count("*").alias("m")).alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "shard")]
+    gained = F.greatest(F.col("m") - F.coalesce("n", F.lit(0)), F.lit(0))
+    both = b.join(a, same[0] & same[1] & same[2] & same[3], "left").select(F.col("b.shard").alias("shard"), gained.alias("moved"))
+    return both.agg(F.sum("moved").alias("moved"), F.sum(F.when(F.col("shard") < new, F.col("moved")).otherwise(0)).alias("between_old"))
