@@ -1,12 +1,21 @@
 """Exact top-k inner products by a dual-tree search over cover trees.
 
-Queries and candidates are dealt to blocks of bounded size; every pair of blocks
-is one group. There, both sides are indexed by cover trees: each level's centres
-lie farther apart than the level's radius, every point lies within it of its
-centre, and radii halve downwards. For a node of queries (centre p, radius r) and
-one of candidates (centre c, radius s), no inner product exceeds
-p.c + |p| s + |c| r + r s; a pair of nodes is pruned when that is below the worst
-k-th score of the node's queries. Blocks' best k are merged by query.
+Candidates are indexed once: dealt to blocks by the nearest of some pivots (the top
+of a cover tree over a bounded sample), and each block is stored as one row, its
+vectors in the order of the block's cover tree. Queries are indexed in the same way.
+They are then searched for in batches of bounded size: a batch's trees are broadcast,
+each task runs them against the blocks it reads, one after the other, so the bounds
+found in one block prune the next, and only each task's best k are shuffled. Before
+the first block a query's k-th score is that among the sample.
+
+Trees are over directions (vectors at length one); distances are chords. A node of
+level i covers its points within RATIO ** -i * 2 of its centre, its children's centres
+lie farther apart than the children's level allows them to cover, and a node's centre
+is its first child's. For a node of queries and one of candidates whose centres lie
+at an angle t, and whose points lie within angles r and s of them, no cosine exceeds
+cos(t - r - s); with the nodes' least and greatest norms that bounds the inner
+product. A pair of nodes is pruned when the bound is below the worst k-th score of
+the node's queries.
 """
 
 from __future__ import annotations
@@ -15,106 +24,247 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lodestrata.llm.common import materialize, ship
+from lodestrata.llm.common import dealt_out, discard, materialize, ship
 
-#: Rows of a block of candidates, and of queries, on average.
-BLOCK = 2048
+#: Rows of a block on average, and its bytes at most.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Queries searched for together, and their bytes, about.
+BATCH, BATCH_BYTES = 16_384, 32 << 20
+#: Rows of the sample that pivots and first bounds come from, its bytes, and pivots, at most.
+SAMPLE, SAMPLE_BYTES, PIVOTS = 4096, 32 << 20, 512
 #: A node of at most so many points isn't divided.
-LEAF = 64
+LEAF = 32
+#: How much less each level covers than the one above it.
+RATIO = 1.3
+#: Added to angles against rounding.
+SLACK = 1e-6
+
+
+def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors at length one (the zero vector: along the first axis), and their norms."""
+    largest = np.abs(vectors).max(axis=1, initial=0)
+    scaled = vectors / np.where(largest > 0, largest, 1)[:, None]
+    norms = np.sqrt((scaled**2).sum(axis=1))
+    out = scaled / np.where(norms > 0, norms, 1)[:, None]
+    out[norms == 0, :1] = 1
+    return out, norms * largest
+
+
+def chords(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between points at length one."""
+    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
+
+
+def cover_radius(level: int) -> float:
+    return 2.0 * RATIO**-level
 
 
 class CoverTree:
-    """Nodes as parallel lists: centre, radius, norm of the centre, rows, children."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaf = points, leaf
-        self.centre, self.radius, self.rows, self.children = [], [], [], []
-        if len(points):
-            rows = np.arange(len(points))
-            reach = np.sqrt(((points - points[0]) ** 2).sum(axis=1))
-            self.add(rows, 0, reach)
-        self.norm = [float(np.sqrt((points[c] ** 2).sum())) for c in self.centre]
-
-    def add(self, rows: np.ndarray, centre: int, reach: np.ndarray) -> int:
-        """Node of `rows` around the point `centre`; reach: their distances from it."""
-        stack = [(rows, centre, reach, -1)]
-        root = len(self.centre)
+    """A cover tree over directions; points stand in its order (`order` names their
+    rows), so a node's are those from lo to before hi, its centre the first of them.
+    Nodes as parallel arrays: lo, hi, centre, level, parent, angle (to the farthest
+    point), least and most (norms). Children of one point each that stand side by
+    side share a node of level -1 around their parent's centre."""
+
+    FIELDS = ("order", "lo", "hi", "centre", "level", "parent")
+    MEASURES = ("angle", "least", "most")
+
+    def __init__(self, points: np.ndarray, norms: np.ndarray, leaf: int = LEAF):
+        order: list[np.ndarray] = []
+        nodes: list[list] = []
+        stack = [(np.arange(len(points)), chords(points, points[:1])[:, 0], 0, -1)] if len(points) else []
+        at = 0
         while stack:
-            rows, centre, reach, parent = stack.pop()
-            node, radius = len(self.centre), float(reach.max())
-            self.centre.append(centre)
-            self.radius.append(radius)
-            self.rows.append(rows)
-            self.children.append([])
-            if parent >= 0:
-                self.children[parent].append(node)
-            if len(rows) <= self.leaf:
+            rows, dist, level, parent = stack.pop()
+            if level < 0:  # children of one point each
+                nodes.append([at, at + len(rows), nodes[parent][2], -1, parent, float(dist.max())])
+                order.append(rows)
+                at += len(rows)
                 continue
-            if radius == 0:  # equal points: any division covers them
-                stack += [(rows[i : i + self.leaf], centre, reach[i : i + self.leaf], node) for i in range(0, len(rows), self.leaf)]
+            reach = float(dist.max())
+            node = len(nodes)
+            nodes.append([at, at + len(rows), at, level, parent, reach])
+            while cover_radius(level + 1) >= reach and reach > SLACK:
+                level += 1
+            nodes[node][3] = level
+            if len(rows) <= leaf or reach <= SLACK:
+                order.append(rows)
+                at += len(rows)
                 continue
-            cover, rest, dist, new = radius / 2, rows, reach, centre
-            groups = []
-            while len(rest):
-                near = dist <= cover
-                groups.append((rest[near], new, dist[near]))
-                rest = rest[~near]
-                if len(rest):
-                    new = int(rest[0])
-                    dist = np.sqrt(((self.points[rest] - self.points[new]) ** 2).sum(axis=1))
-                    dist[0] = 0.0
-                    if len(groups) > 4 * len(rows) // self.leaf + 8:  # in many dimensions hardly two points are near: keep the rest in runs
-                        groups += [(rest[i : i + self.leaf], int(rest[i]), np.sqrt(((self.points[rest[i : i + self.leaf]] - self.points[rest[i]]) ** 2).sum(axis=1))) for i in range(0, len(rest), self.leaf)]
-                        break
-            stack += [(*g, node) for g in groups]
-        return root
-
-
-def search(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the scores (descending) and indices of its best k points;
-    ties go to the smaller id; points whose row equals the query's `own` don't
-    count. Missing places: index -1."""
-    n = len(queries)
-    best, which = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
-    tree, other = CoverTree(queries, 32), CoverTree(points)
-    slack = 1e-9
-    heap: list[tuple[float, int, int]] = []
-
-    def bound(a: int, b: int) -> float:
-        r, s = tree.radius[a], other.radius[b]
-        top = float(queries[tree.centre[a]] @ points[other.centre[b]]) + tree.norm[a] * s + other.norm[b] * r + r * s
-        return top + slack * (1 + abs(top) + (tree.norm[a] + r) * (other.norm[b] + s))
-
-    def offer(a: int, b: int) -> None:
-        top = bound(a, b)
-        if top >= best[tree.rows[a], k - 1].min():
-            heapq.heappush(heap, (-top, a, b))
-
-    if n and len(points):
-        offer(0, 0)
+            groups = net(points, rows, dist, cover_radius(level + 1))
+            lone = np.array([r[0] for r, _ in groups[1:] if len(r) == 1], np.int64)
+            if len(lone):
+                stack.append((lone, chords(points[lone], points[rows[:1]])[:, 0], -1, node))
+            stack += [(r, d, level + 1, node) for r, d in groups[:0:-1] if len(r) > 1]
+            stack.append((*groups[0], level + 1, node))
+        self.order = np.concatenate(order) if order else np.zeros(0, np.int64)
+        table = np.array(nodes, np.float64).reshape(-1, 6)
+        self.lo, self.hi, self.centre, self.level, self.parent = (table[:, i].astype(np.int64) for i in range(5))
+        self.angle = 2 * np.arcsin(np.minimum(table[:, 5] / 2, 1))
+        held = norms[self.order]
+        self.least = np.array([held[a:b].min() for a, b in zip(self.lo, self.hi)])
+        self.most = np.array([held[a:b].max() for a, b in zip(self.lo, self.hi)])
+
+    @classmethod
+    def stored(cls, fields: dict[str, bytes]) -> "CoverTree":
+        tree = cls.__new__(cls)
+        for name in cls.FIELDS:
+            setattr(tree, name, np.frombuffer(fields[name], np.int64))
+        for name in cls.MEASURES:
+            setattr(tree, name, np.frombuffer(fields[name], np.float64))
+        return tree
+
+    def fields(self) -> dict[str, bytes]:
+        return {name: np.ascontiguousarray(getattr(self, name)).tobytes() for name in (*self.FIELDS, *self.MEASURES)}
+
+    def children(self) -> list[np.ndarray]:
+        by = np.argsort(self.parent, kind="stable")
+        bounds = np.searchsorted(self.parent[by], np.arange(len(self.parent) + 1))
+        return [by[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def net(points: np.ndarray, rows: np.ndarray, dist: np.ndarray, radius: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """rows divided into groups (rows and distances, the group's centre first): centres,
+    the first of which is rows[0], lie farther apart than radius, all others within it
+    of their centre. dist: distances from rows[0]."""
+    near = dist <= radius
+    near[0] = True
+    groups, rest = [(rows[near], dist[near])], rows[~near]
+    while len(rest):
+        head = rest[:256]
+        apart = chords(points[head], points[head])
+        covered, chosen = np.zeros(len(head), bool), []
+        for i in range(len(head)):
+            if not covered[i]:
+                chosen.append(i)
+                covered |= apart[i] <= radius
+                covered[i] = True
+        centres = head[chosen]
+        reach = chords(points[rest], points[centres])
+        own = reach.argmin(axis=1)
+        own[chosen] = np.arange(len(chosen))  # the centres are the first of rest
+        least = reach[np.arange(len(rest)), own]
+        least[chosen] = 0
+        taken = least <= radius
+        by = np.argsort(own[taken], kind="stable")
+        members, reaches, owner = rest[taken][by], least[taken][by], own[taken][by]
+        bounds = np.searchsorted(owner, np.arange(len(chosen) + 1))
+        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            first = np.flatnonzero(members[a:b] == centres[k])[0]
+            by_centre = np.concatenate([[first], np.delete(np.arange(b - a), first)])
+            groups.append((members[a:b][by_centre], reaches[a:b][by_centre]))
+        rest = rest[~taken]
+    return groups
+
+
+class Side:
+    """Vectors in the order of their cover tree, with ids and row numbers."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, null: np.ndarray, rows: np.ndarray, tree: CoverTree):
+        self.vectors, self.ids, self.null, self.rows, self.tree = vectors, ids, null, rows, tree
+        self.points, self.norms = directions(vectors)
+        self.children = tree.children()
+        self.largest = float(np.abs(vectors).max(initial=0))
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, ids: np.ndarray, null: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> "Side":
+        tree = CoverTree(*directions(vectors), leaf)
+        return cls(vectors[tree.order], ids[tree.order], null[tree.order], rows[tree.order], tree)
+
+
+class Best:
+    """The best k of each query so far: scores, ids (and whether they are null), descending, ties by id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores = k, np.full((n, k), -np.inf)
+        self.ids, self.null, self.rows = np.zeros((n, k), np.int64), np.ones((n, k), bool), np.full((n, k), -1, np.int64)
+
+    def offer(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray, null: np.ndarray, rows: np.ndarray) -> None:
+        """scores (queries `at` x candidates); -inf doesn't count."""
+        k, n = self.k, scores.shape[1]
+        worst = self.scores[at, k - 1]
+        if n > k:
+            worst = np.maximum(worst, np.partition(scores, n - k, axis=1)[:, n - k])
+        row, column = np.nonzero((scores >= worst[:, None]) & (scores > -np.inf))
+        if not len(row):
+            return
+        changed = np.unique(row)
+        old, place = np.nonzero(self.rows[at[changed]] >= 0)
+        old = changed[old]
+        all_row = np.concatenate([old, row])
+        value = np.concatenate([self.scores[at[old], place], scores[row, column]])
+        name, none, number = (np.concatenate([mine[at[old], place], theirs[column]]) for mine, theirs in ((self.ids, ids), (self.null, null), (self.rows, rows)))
+        order = np.lexsort((number, name, none, -value, all_row))
+        all_row = all_row[order]
+        rank = np.arange(len(order)) - np.searchsorted(all_row, all_row)
+        top = rank < k
+        order, all_row, rank = order[top], at[all_row[top]], rank[top]
+        self.scores[all_row, rank], self.ids[all_row, rank], self.null[all_row, rank], self.rows[all_row, rank] = value[order], name[order], none[order], number[order]
+
+
+def bounds(a: Side, i: int, b: Side, nodes: np.ndarray) -> np.ndarray:
+    """No inner product of points of a's node i and of b's nodes exceeds these."""
+    t, u = a.tree, b.tree
+    cosine = np.clip(b.points[u.centre[nodes]] @ a.points[t.centre[i]], -1, 1)
+    most = np.cos(np.clip(np.arccos(cosine) - t.angle[i] - u.angle[nodes] - SLACK, 0, np.pi))
+    top = np.where(most >= 0, t.most[i] * u.most[nodes], t.least[i] * u.least[nodes]) * most
+    return top + 1e-9 * (1 + t.most[i] * u.most[nodes])
+
+
+def search(queries: Side, first: int, candidates: Side, best: Best) -> int:
+    """Offer to `best` (whose rows from `first` on are the queries) whatever
+    candidates may be among the best; a query's own row isn't offered. Returns how
+    many pairs were scored."""
+    t, u = queries.tree, candidates.tree
+    if not len(t.lo) or not len(u.lo):
+        return 0
+    scored, heap = 0, []
+
+    def offer(i: int, nodes: np.ndarray) -> None:
+        worst = best.scores[first + t.lo[i] : first + t.hi[i], -1].min()
+        tops = bounds(queries, i, candidates, nodes)
+        for top, j in zip(tops.tolist(), nodes.tolist()):
+            if top >= worst:
+                heapq.heappush(heap, (-top, i, j))
+
+    offer(0, np.zeros(1, np.int64))
     while heap:
-        top, a, b = heapq.heappop(heap)
-        if -top < best[tree.rows[a], k - 1].min():
+        top, i, j = heapq.heappop(heap)
+        worst = best.scores[first + t.lo[i] : first + t.hi[i], -1]
+        if -top < worst.min():
             continue
-        if not tree.children[a] and not other.children[b]:
-            q, p = tree.rows[a], other.rows[b]
-            scores = queries[q] @ points[p].T
-            scores[own[q][:, None] == rows[p][None, :]] = -np.inf
-            both = np.concatenate([best[q], scores], axis=1)
-            index = np.concatenate([which[q], np.broadcast_to(p, scores.shape)], axis=1)
-            names = np.where(index >= 0, ids[index], np.iinfo(np.int64).max)
-            order = np.lexsort((names, -both), axis=1)[:, :k]
-            best[q], which[q] = np.take_along_axis(both, order, 1), np.take_along_axis(index, order, 1)
-            which[q] = np.where(np.isinf(best[q]), -1, which[q])
-        elif tree.children[a] and (not other.children[b] or tree.radius[a] > other.radius[b]):
-            for child in tree.children[a]:
-                offer(child, b)
+        mine, theirs = queries.children[i], candidates.children[j]
+        if not len(mine) and not len(theirs):
+            at, b = np.arange(t.lo[i], t.hi[i]), slice(u.lo[j], u.hi[j])
+            scores = queries.vectors[at] @ candidates.vectors[b].T
+            scores[queries.rows[at][:, None] == candidates.rows[b][None, :]] = -np.inf
+            scored += scores.size
+            best.offer(first + at, scores, candidates.ids[b], candidates.null[b], candidates.rows[b])
+        elif len(mine) and (not len(theirs) or t.angle[i] > u.angle[j]):
+            for child in mine.tolist():
+                offer(child, np.array([j]))
         else:
-            for child in other.children[b]:
-                offer(a, child)
-    return best, which
+            offer(i, theirs)
+    return scored
+
+
+def exact(queries: Side, first: int, candidates: Side, k: int) -> list[tuple[int, int, int, bool, int]]:
+    """The best k of each query (its place, score, id, whether that is null, row),
+    in whole numbers of any size."""
+    points = [[int(x) for x in v] for v in candidates.vectors.tolist()]
+    out = []
+    for i, v in enumerate(queries.vectors.tolist()):
+        whole = [int(x) for x in v]
+        scored = [(-sum(x * y for x, y in zip(whole, w)), bool(candidates.null[j]), int(candidates.ids[j]), int(candidates.rows[j])) for j, w in enumerate(points) if candidates.rows[j] != queries.rows[i]]
+        out += [(first + i, -s, name, null, row) for s, null, name, row in heapq.nsmallest(k, scored)]
+    return out
+
+
+_TREE = [f"{x} binary" for x in (*CoverTree.FIELDS, *CoverTree.MEASURES)]
+INDEX = ", ".join(["dim int", "n long", "vectors binary", "ids binary", "nulls binary", "rows binary", *_TREE])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -123,7 +273,67 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.floor(values.reshape(len(column), -1) * 1024)
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = BLOCK) -> DataFrame:
+def _side(row: dict) -> Side:
+    kind = bytes(row["vectors"][:1])
+    vectors = np.frombuffer(row["vectors"], {b"s": np.int16, b"d": np.float64}[kind], offset=8).astype(np.float64).reshape(row["n"], -1)
+    return Side(vectors, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["rows"], np.int64), CoverTree.stored(row))
+
+
+def index(rows: DataFrame, pivots: dict[int, np.ndarray], name: str) -> DataFrame:
+    """One row a block of `rows` (vec_id, _row, _dim, embedding): its vectors in the
+    order of its cover tree, and the tree. pivots: directions by dimension."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS directions at most
+
+    def nearest(batches):
+        for batch in batches:
+            dims, column = batch.column(2).to_numpy(), batch.column(3)
+            cell = np.zeros(batch.num_rows, np.int32)
+            for dim in np.unique(dims):
+                if int(dim) in shared.value:
+                    at = np.flatnonzero(dims == dim)
+                    for k in range(0, len(at), 4096):
+                        part = at[k : k + 4096]
+                        cell[part] = (directions(_matrix(column.take(pa.array(part))))[0] @ shared.value[int(dim)].T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["vec_id", "_row", "_dim", "embedding", "_cell"])
+
+    placed = rows.select("vec_id", "_row", "_dim", "embedding").mapInArrow(nearest, "vec_id long, _row long, _dim int, embedding array<double>, _cell int")
+    placed = materialize(placed, "cells")
+    sizes = placed.groupBy("_dim", "_cell").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / F.least(F.lit(BLOCK), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_BYTES / 8) / F.col("_dim")))))
+    # the cells with most rows, at most two a pivot; any other cell has fewer rows than the table by their number
+    large = sizes.orderBy(F.desc("n"), "_dim", "_cell").limit(2 * PIVOTS).select("_dim", "_cell", blocks.alias("_blocks"))
+    total = placed.count()
+    small = max(1, -(-total // (2 * PIVOTS * BLOCK)))
+    salted = placed.join(F.broadcast(large), ["_dim", "_cell"], "left").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.coalesce("_blocks", F.lit(small))))
+
+    def build(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_row")
+        vectors, column = _matrix(group.column("embedding").combine_chunks()), group.column("vec_id")
+        null = column.is_null().to_numpy()
+        side = Side.of(vectors, column.fill_null(0).to_numpy(), null, group.column("_row").to_numpy())
+        narrow = side.largest < 2**15
+        raw = (b"s" if narrow else b"d").ljust(8) + np.ascontiguousarray(side.vectors.astype(np.int16 if narrow else np.float64)).tobytes()
+        fields = {"dim": vectors.shape[1], "n": len(vectors), "vectors": raw, "ids": side.ids.tobytes(), "nulls": side.null.tobytes(), "rows": side.rows.tobytes(), **side.tree.fields()}
+        return pa.table({k: pa.array([v], {int: pa.int64()}.get(type(v), pa.binary())) for k, v in fields.items()}).cast(pa.schema([("dim", pa.int32()), ("n", pa.int64()), *((k, pa.binary()) for k in list(fields)[2:])]))
+
+    dealt = salted.select("_dim", "_cell", "_salt", "vec_id", "_row", "embedding", F.xxhash64("_dim", "_cell", "_salt").alias("_block"))
+    groups = dealt_out(dealt, "_block", max(1, -(-total // BLOCK))).groupBy("_block", "_dim", "_cell", "_salt")
+    out = materialize(groups.applyInArrow(build, INDEX), name)
+    discard(placed)
+    return out
+
+
+def top_of(points: np.ndarray, most: int) -> np.ndarray:
+    """Centres of the deepest level of the points' cover tree that has at most so many."""
+    centres, level = points[:1], 1
+    while True:
+        found = net(points, np.arange(len(points)), chords(points, points[:1])[:, 0], cover_radius(level))
+        if len(found) > most or level > 60:
+            return centres
+        centres, level = points[[g[0][0] for g in found]], level + 1
+
+
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every row whose
     vec_id is divisible by `every`.
 
@@ -132,6 +342,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = BLOCK)
     that repeat a vec_id are rows of their own: only the query's own row isn't its
     candidate. A null vec_id can't be a query, and loses ties. Scores beyond a
     long are clipped to its range. With fewer candidates than k, all are returned.
+    An empty table gives no rows; other columns play no part, whatever their names.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -140,44 +351,80 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = BLOCK)
     )
     sound = materialize(sound.withColumn("_dim", F.size("embedding")), "vectors")
     is_query = F.col("vec_id") % every == 0
-    n, n_queries = sound.agg(F.count("*"), F.count_if(is_query)).first()
-    blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_queries // block))
-    dealt = F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")
-    q_dealt = F.pmod(F.xxhash64("_row"), F.lit(q_blocks)).cast("int")
-    whole = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    # both sides come from one table: aliases keep their columns apart in the plan
-    points = sound.select(F.col("_dim").alias("_dim"), dealt.alias("_c"), whole(q_blocks).alias("_q"), *(F.col(c).alias(c) for c in ("vec_id", "_row", "embedding")))
-    queries = sound.where(is_query).select("_dim", whole(blocks).alias("_c"), q_dealt.alias("_q"), "vec_id", "_row", "embedding")
-
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ("query_row", "query_id", "vec_id", "score")
-        if not left.num_rows or not right.num_rows:
-            return pa.table({x: pa.array([], pa.int64()) for x in names})
-        left, right = left.sort_by("_row"), right.sort_by("_row")
-        q, p = _matrix(left.column("embedding").combine_chunks()), _matrix(right.column("embedding").combine_chunks())
-        ids = right.column("vec_id").fill_null(np.iinfo(np.int64).max).to_numpy()
-        own, rows, q_ids = left.column("_row").to_numpy(), right.column("_row").to_numpy(), left.column("vec_id").to_numpy()
-        if np.abs(q).max() * np.abs(p).max() * q.shape[1] < 2.0**52:
-            best, which = search(q, p, ids, own, rows, k)
-            at = np.flatnonzero(which.ravel() >= 0)
-            row, index, score = at // k, which.ravel()[at], best.ravel()[at].astype(np.int64)
-        else:  # beyond doubles' integers: whole numbers of any size
-            row, index, score = [], [], []
-            exact = [[int(x) for x in v] for v in p.tolist()]
-            for i, v in enumerate(q.tolist()):
-                whole_v = [int(x) for x in v]
-                scored = [(-sum(x * y for x, y in zip(whole_v, w)), ids[j], j) for j, w in enumerate(exact) if rows[j] != own[i]]
-                for s, _, j in heapq.nsmallest(k, scored):
-                    row.append(i)
-                    index.append(j)
-                    score.append(max(-(2**63), min(2**63 - 1, -s)))
-            row, index = np.array(row, np.int64), np.array(index, np.int64)
-        return pa.table({"query_row": pa.array(own[row], pa.int64()), "query_id": pa.array(q_ids[row], pa.int64()), "vec_id": right.column("vec_id").take(pa.array(index)), "score": pa.array(score, pa.int64())})
-
-    keys = ("_dim", "_c", "_q")
-    found = queries.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInArrow(one, "query_row long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n, n_queries, widest = sound.agg(F.count("*"), F.count_if(is_query), F.max("_dim")).first()
+    if not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+    # a bounded sample: pivots, and a first bound for each query
+    some = sound.orderBy(F.xxhash64("_row"), "_row").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * widest)))).select("vec_id", "_row", "_dim", "embedding").toArrow()
+    samples = {}
+    for dim in set(some.column("_dim").to_pylist()):
+        part = some.filter(pc.equal(some.column("_dim"), dim))
+        ids = part.column("vec_id")
+        samples[dim] = (_matrix(part.column("embedding").combine_chunks()), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), part.column("_row").to_numpy())
+    tops = lambda rows: {d: top_of(directions(s[0])[0], max(1, min(PIVOTS, rows // BLOCK))) for d, s in samples.items()}
+    candidates = index(sound, tops(n), "index")
+    wanted = index(sound.where(is_query), tops(n_queries), "queries")
+
+    results, batch = [], []
+    for row in wanted.toLocalIterator():
+        batch.append(row.asDict())
+        if sum(x["n"] for x in batch) >= BATCH or sum(len(x["vectors"]) for x in batch) >= BATCH_BYTES:
+            results.append(_searched(candidates, batch, samples, k))
+            batch = []
+    if batch:
+        results.append(_searched(candidates, batch, samples, k))
+    discard(sound, candidates, wanted)
+    out = results[0]
+    for other in results[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def _searched(candidates: DataFrame, batch: list[dict], samples: dict, k: int) -> DataFrame:
+    """The best k of each query of a batch (rows of an index) among all candidates."""
+    spark = candidates.sparkSession
+    shared = spark.sparkContext.broadcast((batch, samples))  # about BATCH vectors, and SAMPLE
+
+    def run(batches):
+        queries, small = shared.value
+        sides = [_side(x) for x in queries]
+        starts = np.cumsum([0, *(len(x.ids) for x in sides)])
+        best, more = Best(int(starts[-1]), k), []
+        floor = np.full(int(starts[-1]), -np.inf)
+        for side, start in zip(sides, starts):
+            vectors, ids, null, rows = small.get(side.vectors.shape[1], (np.zeros((0, side.vectors.shape[1])),) + (np.zeros(0, np.int64),) * 3)
+            if len(ids) > k and side.largest * np.abs(vectors).max() * vectors.shape[1] < 2.0**52:
+                for i in range(0, len(side.ids), 2048):
+                    scores = side.vectors[i : i + 2048] @ vectors.T
+                    scores[side.rows[i : i + 2048][:, None] == rows[None, :]] = -np.inf
+                    floor[start + i : start + i + len(scores)] = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+        best.scores[:] = floor[:, None]  # a lower bound; rows still say that nothing is held
+        for part in batches:
+            for row in part.to_pylist():
+                block = _side(row)
+                for side, start in zip(sides, starts.tolist()):
+                    if side.vectors.shape[1] != block.vectors.shape[1]:
+                        continue
+                    if side.largest * block.largest * block.vectors.shape[1] < 2.0**52:
+                        search(side, start, block, best)
+                    else:  # beyond doubles' integers
+                        more += exact(side, start, block, k)
+        at, place = np.nonzero(best.rows >= 0)
+        own, names = np.concatenate([x.rows for x in sides]), np.concatenate([x.ids for x in sides])
+        clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+        columns = [
+            pa.array(np.concatenate([own[at], own[[m[0] for m in more]]]) if more else own[at], pa.int64()),
+            pa.array(np.concatenate([names[at], names[[m[0] for m in more]]]) if more else names[at], pa.int64()),
+            pa.array([None if none else x for x, none in zip(best.ids[at, place].tolist(), best.null[at, place].tolist())] + [None if m[3] else m[2] for m in more], pa.int64()),
+            pa.array(best.scores[at, place].astype(np.int64).tolist() + [clip(m[1]) for m in more], pa.int64()),
+            pa.array(best.rows[at, place].tolist() + [m[4] for m in more], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["query_row", "query_id", "vec_id", "score", "row"])
+
+    found = candidates.mapInArrow(run, "query_row long, query_id long, vec_id long, score long, row long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row"))
+    return materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
 
 
 SQL = """
