@@ -132,6 +132,30 @@ def test_suffix_array():
         assert suffixes.suffix_array(s).tolist() == sorted(range(n + 1), key=lambda i: s.tolist()[i:])
 
 
+def test_finer_pieces_hold_every_string_once():
+    r = random.Random(2)
+    texts = [bytes(r.choice(b"abc") for _ in range(r.randint(200, 900))) for _ in range(5)] + [b"x" * 700, b"ab" * 300]
+    texts += [texts[0][100:300] + texts[1], b"q" + texts[6]]
+    for width in suffixes.WIDTHS:
+        groups: dict = {}
+        for t in texts:
+            starts = []
+            for start, group, piece in suffixes.finer(t, width):
+                for k in range(len(piece) - 199):
+                    assert piece[k : k + 200] == t[start + k : start + k + 200]
+                    starts.append(start + k)
+                    groups.setdefault(piece[k : k + 200], set()).add(group)
+                assert width > 1 or group[2:] == piece
+            assert starts == list(range(len(t) - 199))
+        assert all(len(x) == 1 for x in groups.values())
+
+
+def test_a_periodic_text_is_one_run():
+    data = np.frombuffer(b"x" * 100_000, np.uint8)
+    text, anchor, start, count, many = suffixes.anchors(data, np.array([len(data)]))
+    assert len(text) == 1 and count[0] == many[0] == 99_801
+
+
 def test_repeated_starts():
     r = random.Random(8)
     for _ in range(100):
@@ -155,11 +179,13 @@ def brute_spans(rows, size=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [8192, 3])
-def test_repeated_strings(spark, sf, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+@pytest.mark.parametrize("most", [2 << 20, 1500, 0])
+def test_repeated_strings(spark, sf, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "MOST", most)
     passage = "The passage that is common to all of these, " * 3 + "and it goes on for quite a while longer than two hundred bytes, so that it repeats in many documents of this table."
     rows = documents(spark, sf) + EDGES[:5] + [(3000 + i, f"{i * 7919} prefix {i} " * 5 + passage + f" tail {i * 31} {i}" * 4, "en") for i in range(25)]
+    rows += [(5000 + i, "the same line of a hundred bytes or so, that stands in all of these documents but among other words, " + f"and {i} more {i * 7} words follow, " * 9, "en") for i in range(40)]
+    rows += [(5100, "ab" * 900 + "c" * 700, None), (5101, "q" + "ab" * 400, None), (5102, f"{'=' * 250} a {'=' * 300}", None)]
     rows += [(4001, "x" * 3000, None), (4002, "b" * 200, None), (4003, "b" * 201, None), (3, rows[3][1], None), (4004, "é" * 500 + "ü" * 100, None)]
     got = [tuple(r) for r in suffixes.digest(frame(spark, rows)).collect()]
     want = [(*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in brute_spans(rows)]
