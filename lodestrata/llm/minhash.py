@@ -8,8 +8,9 @@ rows of a band share a bucket. Within a bucket no pairs are listed at first: eac
 node is compared with the lead of one of its buckets (the node that shares most
 buckets with others), that which is most like it. Only nodes that then still lie in
 different components of a common bucket are paired, if their signatures, sizes and
-parities allow the similarity asked for. All pairs that count are confirmed on the
-full sets.
+parities allow the similarity asked for; a large bucket's nodes are dealt to cells,
+and each pair of cells is a group of its own. All pairs that count are confirmed on
+the full sets.
 
 A set's parities tell for each of PARITIES hash classes whether it holds an odd
 number of shingles. Classes in which two sets differ are at most as many as the
@@ -23,13 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestrata.llm.common import materialize, mix64, ship, text_chunks
+from lodestrata.llm.common import SHARE, discard, joined_evenly, materialize, mix64, ship, text_chunks
 
 BANDS, ROWS = 40, 6
 #: Bits of the sketch: one of each minimum.
 BITS = BANDS * ROWS
 WORDS = (BITS + 63) // 64
 PARITIES = 1024
+#: Nodes of a bucket that are paired with each other in one group.
+CELL = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -157,10 +160,15 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, text_key binary, bands array<long>, sketch array<long>, parity array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id and the whole shingle set of the nodes `wanted` (id, text_key)."""
-    texts = docs.where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), "text")
-    once = texts.join(wanted.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+def full_sets(docs: DataFrame, wanted: DataFrame, often: DataFrame, size: int) -> DataFrame:
+    """id and the whole shingle set of the nodes `wanted` (id, text_key). `often`
+    (fewer than SHARE rows: text_key, doc_id): texts that very many rows hold, and a
+    row that does; its other copies aren't shuffled."""
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), "text")
+    hot = F.broadcast(often.select("text_key", F.col("doc_id").alias("_lead")))
+    rest = texts.join(hot, "text_key", "left_anti").join(wanted.select("text_key"), "text_key", "left_semi")
+    led = texts.join(hot, "text_key").where(F.col("doc_id").eqNullSafe(F.col("_lead"))).groupBy("text_key").agg(F.first("text").alias("text"))
+    once = rest.groupBy("text_key").agg(F.first("text").alias("text")).unionByName(led)
 
     def run(batches):
         for part in text_chunks(batches, "text"):
@@ -227,58 +235,86 @@ def _alike(x: str, y: str, percent: int) -> Column:
     return sizes & sketches & (_apart(f"{x}parity", f"{y}parity", PARITIES // 64) * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs.
-
-    Linked are documents whose shingle sets have 100 * intersection >= percent *
-    union; component_id is the smallest doc_id reachable. A null text, and one
-    without words, has an empty set and is linked with nothing: its component_id
-    is its doc_id. A null doc_id loses against any other as component_id. Repeated
-    rows are linked, and stay (kept) together, as they carry the same doc_id. An
-    empty table gives no rows; only doc_id and text are read.
-
-    A pair of similarity s is found with probability 1 - (1 - s^ROWS)^BANDS or
-    more: all but 5 in a million at 0.8, all but 2 in 10^10 at 0.9.
-    """
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, set_key, text_key of every row of docs, and `lead`: of the
+    group that it is linked with the least row (is doc_id null, doc_id, text_key); null
+    for an empty set."""
     rows = materialize(profiles(docs, size), "profiles")
     some = rows.where("set_key is not null")
-    nodes = some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"), F.first("bands").alias("bands"))
+    first = {x: F.first(x).alias(x) for x in ("sketch", "parity", "bands")}
+    nodes = some.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("lead"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *first.values())
     nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    many = F.col("copies") * SHARE > rows.count()
 
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"), F.col("parity").alias(f"{name}_parity"))
 
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = materialize(buckets.join(sizes, "bucket").select("bucket", "id", "members"), "buckets")
+    sizes = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    places = sizes.agg(F.sum("members")).first()[0] or 0
+    large = sizes.where(F.col("members") * SHARE > places).select("bucket")
+    shared = materialize(joined_evenly(buckets, sizes, "bucket", large).select("bucket", "id", "members"), "buckets")
     central = shared.groupBy("id").agg(F.sum("members").alias("weight"))
     leads = shared.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("lead"))
 
     # first: each node against the lead that is most like it
-    trial = shared.join(leads, "bucket").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    trial = joined_evenly(shared.select("bucket", "id"), leads, "bucket", large).where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     trial = trial.join(side("a"), "a").join(side("b"), "b")
     best = trial.where(_alike("a_", "b_", percent)).groupBy("b").agg(F.min(F.struct(_apart("a_parity", "b_parity", PARITIES // 64).alias("apart"), F.col("a"))).alias("best"))
-    first = materialize(best.select("best.a", "b"), "pairs")
-    wanted = shared.select("id").distinct().join(nodes.select("id", "text_key"), "id")
-    sets = materialize(full_sets(docs, wanted, size), "sets")
-    links = materialize(verified(first, sets, percent), "verified")
+    pairs = materialize(best.select("best.a", "b"), "pairs")
+    wanted = shared.select("id").distinct().join(nodes.select("id", "lead.text_key"), "id")
+    sets = materialize(full_sets(docs, wanted, nodes.where(many).select("lead.text_key", "lead.doc_id"), size), "sets")
+    links = materialize(verified(pairs, sets, percent), "verified")
     labels = materialize(components(links), "labels")
 
     # then: whatever shares a bucket with another component
     labelled = shared.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    open_ = materialize(labelled.join(mixed, "bucket").join(nodes.select("id", "n", "sketch", "parity"), "id"), "mixed")
-    x = open_.select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("id", "root", "n", "sketch", "parity")))
-    y = open_.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("id", "root", "n", "sketch", "parity")))
-    crossing = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_root") < F.col("y_root")) & _alike("x_", "y_", percent))
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / CELL).cast("int").alias("cells")).where("low < high").select("bucket", "cells")
+    open_ = joined_evenly(labelled, mixed, "bucket", large).join(nodes.select("id", "n", "sketch", "parity"), "id")
+    open_ = materialize(open_.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")), "mixed")
+    columns = ("id", "root", "n", "sketch", "parity")
+    x = open_.select("bucket", F.col("cell").alias("i"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("j"), *(F.col(c).alias(f"x_{c}") for c in columns))
+    y = open_.select("bucket", F.explode(F.sequence(F.lit(0), "cell")).alias("i"), F.col("cell").alias("j"), *(F.col(c).alias(f"y_{c}") for c in columns))
+    same = (x["bucket"] == y["bucket"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
+    crossing = x.join(y, same & (F.col("x_root") != F.col("y_root")) & ((x["i"] < x["j"]) | (F.col("x_id") < F.col("y_id"))) & _alike("x_", "y_", percent))
     pairs = crossing.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     more = materialize(verified(pairs, sets, percent), "verified")
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "labels")
 
-    named = nodes.select("id", "set_key", "doc_id").join(labels, "id", "left")
-    smallest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    found = named.join(smallest, "root", "left").select("set_key", F.coalesce("least", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = nodes.select("id", "set_key", "lead", "copies").join(labels, "id", "left")
+    least = named.where("root is not null").groupBy("root").agg(F.min("lead").alias("least"))
+    found = materialize(named.join(least, "root", "left").select("set_key", F.coalesce("least", "lead").alias("lead"), many.alias("many")), "leads")
+    discard(nodes, sizes, shared, sets, links, open_, more, labels)
+    slim = rows.select("doc_id", "n_shingles", "set_key", "text_key")
+    out = joined_evenly(slim.where("set_key is not null"), found.drop("many"), "set_key", found.where("many").select("set_key"))
+    return out.unionByName(slim.where("set_key is null").withColumn("lead", F.lit(None).cast(found.schema["lead"].dataType)))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs.
+
+    Linked are documents whose shingle sets have 100 * intersection >= percent *
+    union; component_id is the smallest doc_id reachable. A null text, and one
+    without words, has an empty set and is linked with nothing: its component_id
+    is its doc_id. A null doc_id loses against any other as component_id. Repeated
+    rows are linked, and stay (kept) together, as they carry the same doc_id. Texts
+    may be of any length: their whole sets are compared. An empty table gives no
+    rows; only doc_id and text are read.
+
+    If minima were independent, a pair of similarity s would be found with
+    probability 1 - (1 - s^ROWS)^BANDS: all but 5 in a million at 0.8, all but 2 in
+    10^10 at 0.9. The README has the share that is found among all pairs.
+    """
+    rows = grouped(docs, size, percent)
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id and text_key (MD5 of the text, null for a null one) of the rows that
+    stay if one row of each group does, without repeats: the least of the group by
+    doc_id (null: last) and then text_key. Rows without words stay."""
+    rows = grouped(docs, size, percent)
+    is_lead = F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.text_key") == F.col("text_key"))
+    return rows.where(F.col("set_key").isNull() | is_lead).select("doc_id", "text_key").distinct()

@@ -91,7 +91,9 @@ def brute_groups(rows, size, percent):
     return [(r[0], len(sets[i]), least[find(i)], r[0] == least[find(i)]) for i, r in enumerate(rows)]
 
 
-def test_near_duplicates(spark, sf):
+@pytest.mark.parametrize("cell", [512, 3])
+def test_near_duplicates(spark, sf, monkeypatch, cell):
+    monkeypatch.setattr(minhash, "CELL", cell)
     rows = documents(spark, sf) + EDGES
     base = " ".join(f"w{i}" for i in range(100))
     rows += [(2000 + k, base.replace(f"w{7 * k} ", f"other{k} "), "en") for k in range(12)] + [(None, base, "en"), (3, rows[3][1], "en")]
@@ -100,6 +102,26 @@ def test_near_duplicates(spark, sf):
         assert sorted(got, key=str) == sorted(brute_groups(rows, size, 80), key=str)
 
 
+def test_a_boilerplate_bucket_is_split(spark, monkeypatch):
+    """Sets that share buckets but are mostly no duplicates, and some that are."""
+    monkeypatch.setattr(minhash, "CELL", 8)
+    common = [f"c{i}" for i in range(120)]
+    rows = [(i, " ".join(common + [f"own{i % 45}x{k}" for k in range(24 + i % 7)]), "en") for i in range(90)]
+    got = [tuple(r) for r in minhash.near_duplicates(frame(spark, rows), 2).collect()]
+    assert sorted(got, key=str) == sorted(brute_groups(rows, 2, 80), key=str)
+
+
+def test_representatives(spark):
+    a, b = " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(101))
+    rows = [(None, a, "en"), (None, b, "en"), (None, a, "en"), (5, "other words here", "en"), (5, a + " x", "en"), (5, "other words here", "en"), (7, None, None), (7, None, None), (8, "", None)]
+    got = minhash.representatives(frame(spark, rows)).collect()
+    md5 = lambda x: hashlib.md5(x.encode()).digest()
+    want = [(5, md5(a + " x")), (5, md5("other words here")), (7, None), (8, md5(""))]
+    assert sorted(((r.doc_id, r.text_key and bytes(r.text_key)) for r in got), key=str) == sorted(want, key=str)
+    got = minhash.representatives(frame(spark, rows[:3])).collect()
+    assert [(r.doc_id, bytes(r.text_key)) for r in got] == [(None, min(md5(a), md5(b)))]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     assert [tuple(r) for r in minhash.near_duplicates(frame(spark, [(1, None, None)])).collect()] == [(1, 0, 1, True)]
