@@ -184,6 +184,13 @@ def pack(pieces: DataFrame, limit: int = 1024, block: int = BLOCK) -> DataFrame:
     return rows.join(whole.unionByName(placed), "_row").drop("_row")
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, limit: int = 1024, end_id: int = 2, added: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
-    return pack(token_pieces(docs, path, pattern, limit, end_id, added=added), limit)
+def pack_documents(docs: DataFrame, path: str, pattern: str, limit: int = 1024, end_id: int = 2, added: bool = False, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of
+    docs; `with_ids`: also its ids (binary, little-endian unsigned 32-bit).
+
+    A null or empty text is one piece, the end id alone. A text of any length is cut
+    into whole pieces, none is dropped. Repeated rows, also those of one doc_id or a
+    null one, are packed each for itself; pieces of equal length go by their row's
+    number. An empty table gives no rows; only doc_id and text are read.
+    """
+    return pack(token_pieces(docs, path, pattern, limit, end_id, with_ids, added), limit)

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -34,8 +35,13 @@ def test_stages_against_brute_force(spark, tmp_path):
     key = lambda r: str(r[:2])
     assert sorted(map(tuple, frames["quality_rules"].collect()), key=key) == sorted(want, key=key)
 
-    kept = [r for r, g in zip(want, brute_groups(want, 5, 80)) if g[3]]
-    want = list(dict.fromkeys(kept))
+    key_of = lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest())
+    leads: dict = {}
+    numbered = [(i, *r[1:]) for i, r in enumerate(want)]
+    groups = [g[2] for g in brute_groups(numbered, 5, 80)]
+    for r, g in zip(want, groups):
+        leads[g] = min(leads.get(g, r), r, key=key_of)
+    want = list(dict.fromkeys(leads[g] for g in groups))
     assert sorted(map(tuple, frames["minhash_near_dedup"].collect()), key=key) == sorted(want, key=key)
 
     want = [(r[0], b[4].decode("utf-8", "ignore"), *r[2:4]) for r, b in zip(want, brute_spans(want))]
@@ -47,7 +53,10 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, frames["pii_pseudonyms"].collect()), key=key) == sorted(want, key=key)
 
     encode = own_coder(P.path("byte_bpe_50k.json"), P.PATTERN)[1]
-    pieces = {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in frames["best_fit_packing"].collect()}
+    pieces = {}
+    for r in frames["best_fit_packing"].collect():
+        assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        pieces[r.doc_id, r.piece] = (r.length, r.ids_crc32)
     for r in private:
         ids = np.append(encode(pa.array([r.text]))[0], 2).astype("<u4")
         cut = len(ids) - (len(ids) - 1) // 1024 * 1024
@@ -58,4 +67,23 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 
 def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    spark.conf.set(corpus_pipeline.KEY_SETTING, "another key")
+    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    spark.conf.unset(corpus_pipeline.KEY_SETTING)
+
+
+def test_documents_may_have_columns_of_any_name(spark):
+    odd = ["_found", "_new", "_kept", "_key", "kept_text", "text_key", "n_words", "failed", "row", "lead", "id", "spans", "pii_found", "a.b", "_hot", "cell"]
+    words = " ".join(f"w{i} and" for i in range(60))
+    texts = [words, words + " more", "mail a.b@example.com " + words.replace("w", "v"), words.replace("w", "u") + " " + words.replace("w", "v"), None, ""]
+    values = [(i, x, "en", "s", 0, *(f"{i} {c}" for c in odd)) for i, x in enumerate(texts)] + [(None, texts[0], "en", "s", 0, *odd)]
+    columns = ", ".join(f"`{c}` string" for c in odd)
+    docs = spark.createDataFrame(values, f"doc_id long, text string, lang string, source string, n_chars long, {columns}")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, same = stage(spark, docs, "").collect(), stage(spark, plain, "").collect()
+        assert sorted((tuple(r)[:5] for r in out), key=str) == sorted(map(tuple, same), key=str), name
+        assert all(list(r.asDict()) == docs.columns and (r.doc_id is None or list(r)[5:] == [f"{r.doc_id} {c}" for c in odd]) for r in out)
+    assert corpus_pipeline.best_fit_packing(spark, docs, "").count() == len(values)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain.limit(0), "").count() == 0, name
