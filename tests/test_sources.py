@@ -84,3 +84,59 @@ def test_specs():
 def test_numbers_as_avro_writes_them(spark):
     for n in (0, 1, 63, 64, 8191, 8192, 1 << 20, (1 << 33)):
         assert bytes(spark.range(1).select(avro.encode_long(F.lit(n))).first()[0]) == avro_long(n)
+
+
+def test_batches_decode_as_single_messages():
+    import random
+
+    import pyarrow as pa
+
+    inner = {"type": "record", "name": "I", "fields": [{"name": "x", "type": "int"}, {"name": "y", "type": ["string", "null"]}]}
+    writer = {"type": "record", "name": "R", "fields": [{"name": "a", "type": "long"}, {"name": "s", "type": "string"}, {"name": "n", "type": ["null", "double"]}, {"name": "gone", "type": inner}, {"name": "i", "type": inner}, {"name": "b", "type": "boolean"}, {"name": "f", "type": "float"}, {"name": "e", "type": {"type": "enum", "name": "E", "symbols": ["p", "q"]}}, {"name": "x", "type": {"type": "fixed", "name": "F", "size": 3}}, {"name": "raw", "type": "bytes"}]}
+    keep = [f for f in writer["fields"] if f["name"] != "gone"]
+    reader = {"type": "record", "name": "R", "fields": [{"name": "new", "type": "int", "default": 4}, {"name": "a", "type": "double"}, *keep[1:]]}
+    r = random.Random(1)
+
+    def message():
+        record = lambda: avro_long(r.randint(-9, 9)) + (avro_long(0) + text(r.choice(["", "é", "long one"])) if r.random() < 0.5 else avro_long(1))
+        n = avro_long(0) if r.random() < 0.3 else avro_long(1) + struct.pack("<d", r.random())
+        return avro_long(r.choice([0, -1, 2**62, -(2**63), r.randint(-999, 999)])) + text("w" * r.randint(0, 70)) + n + record() + record() + bytes([r.randint(0, 1)]) + struct.pack("<f", 0.5) + avro_long(r.randint(0, 1)) + b"xyz" + text("raw")
+
+    messages = [message() for _ in range(300)]
+    for k in range(200):  # broken ones: cut, lengthened, one byte changed
+        m = message()
+        at = r.randrange(len(m))
+        messages.append([m[:at], m + b"\0", m[:at] + bytes([r.randrange(256)]) + m[at + 1 :]][k % 3])
+    values, ok = avro.decode_together(pa.array(messages, pa.binary()), writer, reader)
+    assert ok[:300].all() and not ok.all()
+    for m, value, sound in zip(messages, values.to_pylist(), ok):
+        try:
+            want = avro.resolve(avro.decode(m, writer), writer, reader)
+        except (ValueError, KeyError, TypeError, IndexError):
+            want = None
+        assert sound == (want is not None) and (not sound or value == {**want, "i": {k: want["i"][k] for k in ("x", "y")}} or abs(want["i"]["x"]) >= 2**31)
+    arrays = {"type": "record", "name": "A", "fields": [{"name": "v", "type": {"type": "array", "items": "long"}}]}
+    values, ok = avro.decode_together(pa.array([avro_long(1) + avro_long(5) + avro_long(0), b"\2"], pa.binary()), arrays, arrays)
+    assert values.to_pylist()[0] == {"v": [5]} and ok.tolist() == [True, False]
+
+
+def test_the_package_reaches_the_executors(tmp_path):
+    """Started in another folder, without the package on the workers' path."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parent.parent)
+    script = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from lodestrata.sources import avro
+s = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.executor.memory", "512m").getOrCreate()
+schema = {{"type": "record", "name": "R", "fields": [{{"name": "a", "type": "long"}}]}}
+rows = s.createDataFrame([(1, bytes([10]))], "schema_id long, payload binary")
+print("got", avro.decoded(rows, schema, {{1: schema}}).first().decoded.a)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "got 5" in done.stdout, done.stderr[-2000:]
