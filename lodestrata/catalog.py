@@ -93,7 +93,20 @@ def writers() -> dict[int, dict]:
     return {7: new, 8: {"type": "record", "name": "Event", "fields": new["fields"][:2]}}
 
 
+_MESSAGES: dict[tuple[str, str], str] = {}
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as framed messages, written once for a session and a data folder."""
+    name = spark.sparkContext.applicationId, sf
+    if name not in _MESSAGES:
+        path = f"{shared_folder(spark)}/messages/{uuid.uuid4().hex}"
+        made_messages(spark, sf).write.parquet(path)
+        _MESSAGES[name] = path
+    return spark.read.schema(wire.RECORD).parquet(_MESSAGES[name])
+
+
+def made_messages(spark: SparkSession, sf: str) -> DataFrame:
     """The events as framed messages: views under an older schema (id 8), some broken."""
     e = events(spark, sf)
     older = F.col("event_type") == "view"
@@ -204,11 +217,11 @@ def scd2_current(spark, sf):
     return _validity(event_history(spark, sf).where("_is_current")).drop("to_us")
 
 
-@query("scd2_invariants", f"select count(distinct user_id) as keys, 0::bigint as offending from {_STATES}")
+@query("scd2_invariants", f"with k as (select user_id, count(*) filter (to_us is null) as c from {_STATES} group by 1) select count(*) as keys, count(*) filter (c <> 1) as offending from k")
 def scd2_invariants(spark, sf):
     h = event_history(spark, sf)
-    per_key = h.groupBy("user_id").agg(F.count_if("_is_current").alias("c"))
-    return per_key.agg(F.count("*").alias("keys"), F.count_if(F.col("c") != 1).alias("offending"))
+    offending = history.offending_keys(h, ["user_id"]).agg(F.count("*").alias("offending"))
+    return h.agg(F.count_distinct("user_id").alias("keys")).join(offending)  # one row each
 
 
 @query("row_hash_equality", f"select user_id, value, count(*) as rows_alike from {DIRTY} group by 1, 2")
@@ -363,6 +376,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 RUNS = """(select *, event_type || '/' || day::varchar as run_id, case when day = date '2024-01-30' and event_type in ('view', 'click') then 'running' when event_type = 'error' then 'failed' else 'succeeded' end as status
  from (select event_type, ts::date as day, min(ts) as s, max(ts) as e, count(*) as n from events group by 1, 2))"""
 _US = f"epoch_us(timestamp '{AS_OF}')"
+_LASTED = "case when status <> 'running' then (epoch_us(e) - epoch_us(s)) / 1e6 end"
 
 
 @query("run_latest_state", f"select run_id, event_type as pipeline_name, status, case when status = 'running' then 0 else n end as rows_written from {RUNS}")
@@ -408,9 +422,9 @@ def stale_runs(spark, sf):
     return monitoring.superseding(stale, at(AS_OF)).select("run_id", "status", F.round("duration_seconds", 3).alias("duration_seconds"))
 
 
-@query("run_health", f"select event_type as pipeline_name, count(*) as runs, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status = 'failed') as failed, round(count(*) filter (status = 'succeeded') / count(*)::double, 4) as success_rate from {RUNS} where epoch_us(s) >= {_US} - 240 * 3600000000 group by 1")
+@query("run_health", f"select event_type as pipeline_name, count(*) as runs, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status = 'failed') as failed, round(count(*) filter (status = 'succeeded') / count(*)::double, 4) as success_rate, round(avg({_LASTED}), 3) as avg_duration, round(max({_LASTED}), 3) as max_duration, round(min({_LASTED}), 3) as min_duration from {RUNS} where epoch_us(s) >= {_US} - 240 * 3600000000 group by 1")
 def run_health(spark, sf):
-    return monitoring.health(runs(spark, sf), at(AS_OF), 240).select("pipeline_name", "runs", "succeeded", "failed", "success_rate")
+    return monitoring.health(runs(spark, sf), at(AS_OF), 240).select("pipeline_name", "runs", "succeeded", "failed", "success_rate", *(F.round(c, 3).alias(c) for c in ("avg_duration", "max_duration", "min_duration")))
 
 
 SPLIT = "2024-01-27 00:00:00"
@@ -429,9 +443,52 @@ def seasonal_mad(spark, sf):
     return s.select("pipeline_name", F.unix_micros("ts").alias("ts_us"), "basis", F.round("median", 4).alias("median"), F.round("score", 4).alias("score"))
 
 
-@query("duration_anomalies", f"select run_id, case when z > 5 then 'P1' else 'P2' end as severity, round(z, 4) as z from (select *, case when c = 0 then null when (case when c = 1 then 0 else d end) = 0 then (case when x = m then 0 when x > m then 'inf'::double else '-inf'::double end) else (x - m) / d end as z from (select run_id, (epoch_us(e) - epoch_us(s)) / 1e6 as x, count(*) over w as c, avg((epoch_us(e) - epoch_us(s)) / 1e6) over w as m, stddev_samp((epoch_us(e) - epoch_us(s)) / 1e6) over w as d from {RUNS} where status = 'succeeded' window w as (partition by event_type order by s, run_id rows between 30 preceding and 1 preceding))) where c >= 7 and z > 3")
+_SECONDS = "(case when run_id = 'click/2024-01-25' then 4 else 1 end * (epoch_us(e) - epoch_us(s)) / 1e6)"
+_SLOW = f"select run_id, case when z > 5 then 'P1' else 'P2' end as severity, round(z, 4) as z from (select *, case when c = 0 then null when (case when c = 1 then 0 else d end) = 0 then (case when x = m then 0 when x > m then 'inf'::double else '-inf'::double end) else (x - m) / d end as z from (select run_id, {_SECONDS} as x, count(*) over w as c, avg({_SECONDS}) over w as m, stddev_samp({_SECONDS}) over w as d from {RUNS} where status = 'succeeded' window w as (partition by event_type order by s, run_id rows between 30 preceding and 1 preceding))) where c >= 7 and z > 3"
+
+
+@query("duration_anomalies", _SLOW)
 def duration_anomalies(spark, sf):
-    return monitoring.duration_anomalies(monitoring.run_states(runs(spark, sf))).select("run_id", "severity", F.round("z_score", 4).alias("z"))
+    return monitoring.duration_anomalies(monitoring.run_states(slow_runs(spark, sf))).select("run_id", "severity", F.round("z_score", 4).alias("z"))
+
+
+def slow_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs, those of clicks on the 25th four times as long."""
+    slow = (F.col("run_id") == "click/2024-01-25") & F.col("duration_seconds").isNotNull()
+    return runs(spark, sf).withColumn("duration_seconds", F.when(slow, 4 * F.col("duration_seconds")).otherwise(F.col("duration_seconds")))
+
+
+def _monitor(spark: SparkSession) -> monitoring.Monitor:
+    return monitoring.Monitor(spark, f"{shared_folder(spark)}/monitoring/{uuid.uuid4().hex}", slas(spark))
+
+
+@query("stored_anomalies", f"select run_id, anomaly_type, severity, \"day\" from (select run_id, case when z < 0 then 'volume_drop' else 'volume_spike' end as anomaly_type, case when abs(z) > 5 then 'P1' else 'P2' end as severity, '2024-01-31' as \"day\" from (select *, {_Z} as z from {_ROLL}) where c >= 7 and abs(z) > 3) union all select run_id, 'duration_anomaly', severity, '2024-01-31' from ({_SLOW})")
+def stored_anomalies(spark, sf):
+    """Both kinds of anomalies of all runs, by way of the table that is divided by day."""
+    m = _monitor(spark)
+    m.add_anomalies(monitoring.run_anomalies(monitoring.run_states(slow_runs(spark, sf))), at(AS_OF))
+    t = m.tables["anomalies"]
+    kept = t.read(between={"day": (None, None)}) if t.exists() else spark.createDataFrame([], "run_id string, anomaly_type string, severity string, day date")
+    return kept.select("run_id", "anomaly_type", "severity", F.col("day").cast("string").alias("day"))
+
+
+@query("stored_incidents", f"select run_id, 'run_failed' as title, 'P1' as severity, 0::int as stored, 200::int as pager from {RUNS} where status = 'failed' and day >= date '2024-01-28'")
+def stored_incidents(spark, sf):
+    """Incidents of the last failed runs, sent to a pager and stored with its answers."""
+    m = _monitor(spark)
+    m.sinks["pager"] = lambda incident: 200
+    failed = monitoring.run_states(runs(spark, sf)).where((F.col("status") == "failed") & (F.col("started_at_utc") >= at("2024-01-28")))
+    m.add_incidents(monitoring.run_checks(failed, slas(spark)).where("anomaly_type = 'run_failed'"), at(AS_OF))
+    return m.tables["incidents"].read().select("run_id", "title", "severity", F.col("codes")["store"].alias("stored"), F.col("codes")["pager"].alias("pager"))
+
+
+@query("stored_scores", f"select 'events' as dataset_name, 12::bigint as total_expectations, passed as passed_expectations, {_N} as row_count, case when passed / 12.0 >= 0.95 then 'P3' when passed / 12.0 >= 0.9 then 'P2' else 'P1' end as severity, {_N} > 0 and passed / 12.0 < 0.95 as alerted from (select count(*) filter (success) as passed from ({' union all '.join(f'select success from ({x})' for _, x in _DQ.values())}))")
+def stored_scores(spark, sf):
+    """A validation as a whole: report, stored score, alert."""
+    m = _monitor(spark)
+    dq.run_suite(quality_rows(spark, sf), {"expectations": SUITE, "name": "events"}, "events", reports=f"{shared_folder(spark)}/reports/{uuid.uuid4().hex}", monitor=m)
+    alerted = F.lit(m.tables["incidents"].exists() and not m.tables["incidents"].read().where("title = 'quality_below_threshold'").isEmpty())
+    return m.tables["scores"].read().select("dataset_name", "total_expectations", "passed_expectations", "row_count", "severity", alerted.alias("alerted"))
 
 
 @query("dq_score_history", "select event_type || '/' || ts::date::varchar as run_id, round(avg(case when value <= 300 then 1.0 else 0.0 end), 6)::double as score from events where event_type = 'view' and ts >= timestamp '2024-01-24' group by 1")
@@ -508,21 +565,55 @@ def time_travel(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("optimize_roundtrip", _ORDERS)
+@query("optimize_roundtrip", "select o_orderstatus, count(*) as n, sum(o_orderkey)::bigint as keys, true as joined from orders group by 1")
 def optimize_roundtrip(spark, sf):
-    t, o = _fresh(spark, "optimize"), _orders(spark, sf)
+    """Three appends in many files each; compaction leaves fewer files and the same rows."""
+    t, o = _fresh(spark, "optimize"), _orders(spark, sf).repartition(4)
     for status in ("F", "O", "P"):
         t.append(o.where(F.col("o_orderstatus") == status))
-    t.optimize()
-    return t.read()
-
-
-@query("zorder_layout", _ORDERS)
+    before = len(t.files())
+    done = t.optimize()
+    joined = done["numFilesRemoved"] == before and len(t.files()) == done["numFilesAdded"] == 1
+    return t.read().groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.lit(joined).alias("joined"))
+
+
+@query("optimize_where", "select o_orderstatus, count(*) as n, o_orderstatus = 'F' as rewritten from orders group by 1")
+def optimize_where(spark, sf):
+    """Compaction of one partition leaves the files of the others as they are."""
+    t, o = VersionedTable(spark, f"{shared_folder(spark)}/tables/where-{uuid.uuid4().hex}", ("o_orderstatus",)), _orders(spark, sf)
+    for part in (o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1")):
+        t.append(part.coalesce(2))
+    before = {x["name"] for x in t.files()}
+    t.optimize(where="o_orderstatus = 'F'")
+    rewritten = {x["partition"]["o_orderstatus"] for x in t.files() if x["name"] not in before}
+    kept = {x["partition"]["o_orderstatus"] for x in t.files() if x["name"] in before}
+    fresh = F.col("o_orderstatus").isin(sorted(rewritten - kept))
+    return t.read().groupBy("o_orderstatus").agg(F.count("*").alias("n")).select("o_orderstatus", "n", fresh.alias("rewritten"))
+
+
+@query("zorder_layout", "select count(*) filter (o_custkey between 20 and 40) as by_custkey, count(*) filter (o_totalprice between 1000 and 20000) as by_price, true as fewer_files, count(*) as n from orders")
 def zorder_layout(spark, sf):
-    t = _fresh(spark, "zorder")
-    t.append(_orders(spark, sf))
-    t.optimize(["o_custkey", "o_orderstatus"], 1 << 16)
-    return t.read()
+    """Ranges of either clustered column read a part of the files only."""
+    t = VersionedTable(spark, f"{shared_folder(spark)}/tables/zorder-{uuid.uuid4().hex}", stats=("o_custkey", "o_totalprice"))
+    t.append(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    size = sum(x["bytes"] for x in t.files())
+    t.optimize(["o_custkey", "o_totalprice"], max(1, size // 16))
+    ranges = {"o_custkey": (20, 40), "o_totalprice": (1000, 20000)}
+    counts = [t.read(between={k: v}).count() for k, v in ranges.items()]
+    fewer = all(len(t.holding({k: v})) <= 0.7 * len(t.files()) for k, v in ranges.items()) and len(t.files()) > 4
+    return t.read().agg(F.lit(counts[0]).cast("long").alias("by_custkey"), F.lit(counts[1]).cast("long").alias("by_price"), F.lit(fewer).alias("fewer_files"), F.count("*").alias("n"))
+
+
+@query("merge_touches_few_files", "select count(*) as n, count(*) filter (o_orderkey = (select min(o_orderkey) from orders)) as changed, 1::bigint as files_removed, true as others_kept from orders")
+def merge_touches_few_files(spark, sf):
+    """The merge of one key rewrites the file that holds it."""
+    t, o = _fresh(spark, "few"), _orders(spark, sf)
+    t.append(o.repartitionByRange(8, "o_orderkey"))
+    files = len(t.files())
+    first = o.agg(F.min("o_orderkey").alias("o_orderkey"), F.lit(0).cast("long").alias("o_custkey"), F.lit("changed").alias("o_orderstatus"))
+    t.merge(lambda current, updates: history.upsert(current, updates, ["o_orderkey"]), first, ("few", 0), ["o_orderkey"])
+    metrics = t.commits()[-1].metrics
+    return t.read().agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "changed").alias("changed"), F.lit(metrics["numFilesRemoved"]).cast("long").alias("files_removed"), F.lit(metrics["numFilesKept"] == files - 1).alias("others_kept"))
 
 
 @query("vacuum_dry_run", "select true as old_files_found, count(*) as rows_kept from orders")
@@ -538,7 +629,7 @@ def vacuum_dry_run(spark, sf):
 def scd1_table_merge(spark, sf):
     t = _fresh(spark, "merge")
     for k, batch in enumerate(order_batches(spark, sf)):
-        t.merge(lambda current, updates: history.upsert(current, updates, ["o_orderkey"]), batch, ("merge", k))
+        t.merge(lambda current, updates: history.upsert(current, updates, ["o_orderkey"]), batch, ("merge", k), ["o_orderkey"])
     return t.read().select("o_orderkey", "o_orderstatus", F.unix_micros("o_orderdate").alias("date_us"))
 
 
@@ -549,7 +640,7 @@ def stream_available_now_conformed(spark, sf):
 
     base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     events(spark, sf).repartitionByRange(3, "event_id").write.parquet(f"{base}/in")
-    spec = EntitySpec("latest_event", "events", f"{base}/table", ("user_id",), "ts")
+    spec = EntitySpec("latest_event", "events", f"{base}/table", ("user_id",), "ts", ties=("event_id",))
     target = VersionedTable(spark, spec.target)
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     write = conformed_batch_writer(spec, target, VersionedTable(spark, f"{base}/quarantine"))
@@ -579,3 +670,21 @@ def stream_available_now_raw(spark, sf):
     await_all(spark, [start_raw(file_stream(spark, f"{base}/in"), raw_batch_writer(TopicSpec("events", "events-value"), registry, data, bad), f"{base}/checkpoint", available_now=True)])
     routes = data.read().select(F.lit("valid").alias("route")).unionByName(bad.read().select(F.col("quarantine_reason").alias("route")))
     return routes.groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query("stream_table_to_conformed", SQL["dedup_latest"])
+def stream_table_to_conformed(spark, sf):
+    """Appends of a raw table streamed into the next layer, in two goes; compaction
+    between them brings no rows again."""
+    from lodestrata.sources.specs import EntitySpec
+    from lodestrata.streaming.runner import Runner, start_entities
+
+    base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    raw, e = VersionedTable(spark, f"{base}/raw"), events(spark, sf)
+    spec = EntitySpec("latest", raw.path, f"{base}/table", ("user_id",), "ts", ties=("event_id",))
+    for k in range(2):
+        raw.append(e.where(F.pmod("event_id", F.lit(4)) == 2 * k).coalesce(2))
+        raw.append(e.where(F.pmod("event_id", F.lit(4)) == 2 * k + 1).coalesce(2))
+        raw.optimize()
+        Runner(start_entities(spark, [spec], base, available_now=True)).wait()
+    return VersionedTable(spark, spec.target).read().select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("ts_us"), "value")

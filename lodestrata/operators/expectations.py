@@ -2,8 +2,8 @@
 
 Row-level checks count violations; nulls violate only not-null and otherwise take
 no part. Distinct counts don't ride in the fused aggregation (Spark would expand
-every row once per distinct column): each unique check is an aggregation of its
-own over one column.
+every row once per distinct column): all unique checks are one second pass, which
+counts values by column and then the columns' values.
 """
 
 from __future__ import annotations
@@ -126,6 +126,7 @@ def evaluate(df: DataFrame, expectations: list[dict]) -> tuple[list[Outcome], in
             out[i] = Outcome(kind, kw.get("column"), False, details={"evaluation_error": str(error)})
     row = df.agg(*exprs).first().asDict()
     n = row["n"]
+    distinct = distinct_counts(df, sorted({kw["column"] for _, kind, kw in later if kind == "expect_column_values_to_be_unique"}))
     for i, kind, kw in later:
         column = kw.get("column")
         if kind == "expect_table_row_count_to_be_between":
@@ -135,7 +136,7 @@ def evaluate(df: DataFrame, expectations: list[dict]) -> tuple[list[Outcome], in
         else:
             present = row[f"c{i}"]
             if kind == "expect_column_values_to_be_unique":
-                bad, base = present - df.where(F.col(f"`{column}`").isNotNull()).select(f"`{column}`").distinct().count(), n
+                bad, base = present - distinct[column], n
             else:
                 bad, base = row[f"v{i}"], n if kind == ROW_LEVEL[0] else present
             share = 1.0 if not base else (base - bad) / base
@@ -144,6 +145,16 @@ def evaluate(df: DataFrame, expectations: list[dict]) -> tuple[list[Outcome], in
     return [out[i] for i in range(len(expectations))], n
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """How many different values, but null, each column has; one pass over all of them."""
+    if not columns:
+        return {}
+    values = [F.struct(F.lit(i).alias("i"), (F.hex(c) if kind == "binary" else c.cast("string") if not kind.startswith(("array", "map", "struct")) else F.when(c.isNotNull(), F.to_json(F.struct(c)))).alias("v")) for i, (c, kind) in enumerate((F.col(f"`{x}`"), dict(df.dtypes)[x]) for x in columns)]
+    each = df.select(F.explode(F.array(*values)).alias("x")).select("x.i", "x.v").where("v is not null")
+    found = each.groupBy("i", "v").agg(F.lit(1)).groupBy("i").agg(F.count("*").alias("n")).collect()  # a row a column
+    return dict.fromkeys(columns, 0) | {columns[r["i"]]: r["n"] for r in found}
+
+
 def score(outcomes: list[Outcome]) -> float:
     return sum(o.success for o in outcomes) / len(outcomes) if outcomes else 0.0
 
@@ -198,16 +209,41 @@ def load_suite(folder: str, name: str) -> dict:
     return json.loads(path.read_text()) | {"name": name}
 
 
-def write_report(report: Report, folder: str) -> tuple[str, str]:
-    """The report as JSON and as a small page; their paths."""
+def load_all(folder: str) -> dict[str, dict]:
+    """All suites of a folder by name."""
+    return {p.stem: load_suite(folder, p.stem) for p in sorted(Path(folder).glob("*.json"))}
+
+
+def write_report(spark: SparkSession, report: Report, folder: str) -> tuple[str, str]:
+    """The report as JSON and as a small page; their paths. Written wherever Spark writes."""
     from html import escape
 
-    base = Path(folder) / f"{report.dataset}-{report.suite or 'suite'}"
-    base.parent.mkdir(parents=True, exist_ok=True)
-    base.with_suffix(".json").write_text(json.dumps(report.as_dict(), indent=2))
+    from lodestrata.plans.files import Files
+
+    base, disk = f"{folder.rstrip('/')}/{report.dataset}-{report.suite or 'suite'}", Files(spark)
     cells = "".join(f"<tr><td>{escape(o.expectation_type)}</td><td>{escape(o.column or '')}</td><td>{'ok' if o.success else 'failed'}</td><td>{o.unexpected_count}</td></tr>" for o in report.outcomes)
-    base.with_suffix(".html").write_text(f"<h1>{escape(report.dataset)}: {report.score:.4f} ({report.severity})</h1><table>{cells}</table>")
-    return str(base.with_suffix(".json")), str(base.with_suffix(".html"))
+    disk.write(f"{base}.json", json.dumps(report.as_dict(), indent=2))
+    disk.write(f"{base}.html", f"<h1>{escape(report.dataset)}: {report.score:.4f} ({report.severity})</h1><table>{cells}</table>")
+    return f"{base}.json", f"{base}.html"
+
+
+def run_suite(df: DataFrame, suite: dict | str, dataset: str, layer: str = "silver", threshold: float | None = None, folder: str = "", reports: str = "", monitor=None, run_id: str | None = None, raise_on_failure: bool = False) -> Report:
+    """A validation as a whole: load the suite (a name in `folder`, or itself), evaluate
+    it, write the report, store the score, alert below the threshold, and then raise if
+    that is at P1 and asked for."""
+    suite = load_suite(folder, suite) if isinstance(suite, str) else suite
+    spark = df.sparkSession
+    report = validate(df, suite, dataset, layer, threshold)
+    path = write_report(spark, report, reports)[0] if reports else None
+    if monitor is not None:
+        monitor.add_score(report, monitor.clock(), run_id, path)
+        if not report.passed:
+            found = spark.createDataFrame([(run_id, dataset, "quality_below_threshold", report.severity, report.score, report.threshold, None)], "run_id string, pipeline_name string, anomaly_type string, severity string, observed_value double, expected_value double, z_score double")
+            monitor.add_anomalies(found, F.lit(monitor.clock()))
+            monitor.add_incidents(found, F.lit(monitor.clock()))
+    if raise_on_failure and not report.passed and report.severity == P1:
+        raise ValueError(f"{dataset}: quality {report.score:.4f} is below {report.threshold}")
+    return report
 
 
 def gate(tables: list[dict], read: Callable[[str], DataFrame]) -> tuple[int, list[dict]]:

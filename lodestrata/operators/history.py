@@ -45,27 +45,26 @@ def opened(updates: DataFrame, at: Column) -> DataFrame:
 
 def record_history(current: DataFrame | None, updates: DataFrame, keys: list[str], at: Column) -> DataFrame:
     """Type 2: where the fingerprint differs, the current row is closed at `at` and
-    the update opened; equal updates change nothing. Updates hold one row a key."""
+    the update opened; equal updates change nothing. Updates hold one row a key. Only
+    live rows are joined, once; closed history passes by."""
     new = opened(updates, at)
     if current is None:
         return new
-    incoming = new.alias("s")
-    live = current.where("_is_current").alias("t")
-    changed = live.join(incoming, _same("t", "s", keys) & (F.col("t._row_hash") != F.col("s._row_hash")), "left_semi").select(*(F.col(f"t.`{k}`") for k in keys))
-    mark = changed.withColumn("_closed", F.lit(True)).alias("c")
-    closing = F.col("_closed").isNotNull() & F.col("t._is_current")
-    kept = current.alias("t").join(mark, _same("t", "c", keys), "left").select(
-        *(
-            F.when(closing, at.cast("timestamp")).otherwise(F.col("t._valid_to")).alias("_valid_to")
-            if c == "_valid_to"
-            else (F.col("t._is_current") & ~closing).alias("_is_current")
-            if c == "_is_current"
-            else F.col(f"t.`{c}`")
-            for c in current.columns
-        )
-    )
-    fresh = incoming.join(live, _same("s", "t", keys) & (F.col("s._row_hash") == F.col("t._row_hash")), "left_anti")
-    return kept.unionByName(fresh, allowMissingColumns=True)
+    kinds = dict(zip(current.columns, (f.dataType for f in current.schema))) | {f.name: f.dataType for f in new.schema if f.name not in current.columns}
+
+    def row(side: str, columns: list[str], **other: Column) -> Column:
+        values = {c: F.col(f"{side}.`{c}`") if c in columns else F.lit(None) for c in kinds} | other
+        return F.struct(*(values[c].cast(t).alias(c) for c, t in kinds.items()))
+
+    live = current.where("_is_current").withColumn("_there", F.lit(True)).alias("t")
+    both = live.join(new.withColumn("_there", F.lit(True)).alias("s"), _same("t", "s", keys), "full_outer")
+    old, fresh = F.col("t._there").isNotNull(), F.col("s._there").isNotNull()
+    changed = old & fresh & (F.col("t._row_hash") != F.col("s._row_hash"))
+    kept = F.when(changed, row("t", current.columns, _valid_to=at, _is_current=F.lit(False))).when(old, row("t", current.columns))
+    added = F.when(fresh & (~old | changed), row("s", new.columns))
+    states = both.select(F.explode(F.array_compact(F.array(kept, added))).alias("x")).select("x.*")
+    closed = current.where("not _is_current").select(*(F.col(f"`{c}`") if c in current.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+    return closed.unionByName(states)
 
 
 def history_of(changes: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
+import hmac
 import os
-import time
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,6 +40,11 @@ def token(value: Column, key: bytes) -> Column:
     return F.substring(hmac_sha256(value.cast("string"), key), 1, TOKEN_CHARS)
 
 
+def token_of(value: str | None, key: bytes) -> str | None:
+    """The same token of one value, on the driver: to look a subject up, say."""
+    return None if value is None else hmac.new(key, value.encode(), hashlib.sha256).hexdigest()[:TOKEN_CHARS]
+
+
 def mask_full(value: Column) -> Column:
     return F.repeat(F.lit("X"), F.length(value.cast("string")))
 
@@ -75,6 +81,20 @@ class ErasureRequest:
     requested_by: str = ""
     request_id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    @classmethod
+    def of(cls, raw: dict) -> "ErasureRequest":
+        """A request from parsed JSON; ValueError where something is missing or unknown."""
+        if missing := {"subjects", "targets"} - set(raw):
+            raise ValueError(f"erasure request lacks {', '.join(sorted(missing))}")
+        if unknown := set(raw) - set(cls.__dataclass_fields__):
+            raise ValueError(f"erasure request has unknown {', '.join(sorted(unknown))}")
+        if not raw["subjects"] or any(x is None or x == "" for x in raw["subjects"]):
+            raise ValueError("no subjects to erase, or an empty one")
+        for t in raw["targets"]:
+            if missing := {"path", "key"} - set(t):
+                raise ValueError(f"erasure target lacks {', '.join(sorted(missing))}")
+        return cls(**raw)
+
 
 @dataclass
 class ErasureReport:
@@ -90,9 +110,13 @@ class ErasureReport:
         return all(r["error"] is None for r in self.results)
 
 
+AUDIT = "at timestamp, request_id string, requested_by string, subjects long, path string, rows_deleted long, error string, complete boolean"
+
+
 def erase(spark, request: ErasureRequest, audit_path: str | None = None) -> ErasureReport:
     """Delete the subjects' rows from each target; a target that fails doesn't keep
-    the others from being erased. Each target's count is of its own commit."""
+    the others from being erased. Each target's count is of its own commit. The audit
+    is a versioned table with a row for each target; it doesn't name the subjects."""
     from lodestrata.plans.table import VersionedTable
 
     if not request.subjects:
@@ -109,8 +133,9 @@ def erase(spark, request: ErasureRequest, audit_path: str | None = None) -> Eras
             results.append({"path": t["path"], "rows_deleted": 0, "error": f"{type(error).__name__}: {error}"[:300]})
     report = ErasureReport(request.request_id, results)
     if audit_path:
-        with open(audit_path, "a") as audit:
-            audit.write(json.dumps({"at": time.time(), **asdict(report), "requested_by": request.requested_by, "complete": report.complete}) + "\n")
+        now = datetime.now(timezone.utc)
+        rows = [(now, report.request_id, request.requested_by, len(request.subjects), r["path"], r["rows_deleted"], r["error"], report.complete) for r in results]
+        VersionedTable(spark, audit_path).append(spark.createDataFrame(rows, AUDIT), (f"erasure-{report.request_id}", 0))
     return report
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from lodestrata.operators.conform import latest
 
 RUNS = "run_id string, pipeline_name string, dag_id string, started_at_utc timestamp, ended_at_utc timestamp, duration_seconds double, status string, rows_read long, rows_written long, rows_errored long, error_message string, source_table string, target_table string, spark_job_id string, extra_json string, recorded_at timestamp"
-INCIDENTS = "incident_id string, pipeline_name string, run_id string, severity string, fired_at_utc timestamp, title string, description string, dedup_key string"
+ANOMALIES = "anomaly_id string, pipeline_name string, run_id string, anomaly_type string, detected_at_utc timestamp, severity string, observed_value double, expected_value double, z_score double, description string"
+INCIDENTS = "incident_id string, pipeline_name string, run_id string, severity string, fired_at_utc timestamp, title string, description string, dedup_key string, sinks array<string>, codes map<string,int>"
 RANK = {"P1": 1, "P2": 2, "P3": 3}
 ROLLING, LEAST_HISTORY = 30, 7
 SEASONAL_LEAST, ALL_LEAST = 8, 4
@@ -101,11 +102,11 @@ def freshness(states: DataFrame, slas: DataFrame, as_of: Column) -> DataFrame:
     return slas.join(last, "pipeline_name", "left").select("pipeline_name", "last_success", age.alias("age_minutes"), "freshness_sla_minutes", verdict.alias("verdict"))
 
 
-def stale_runs(runs: DataFrame, as_of: Column, minutes: int = 120, days: int = 7) -> DataFrame:
-    """Runs of the last days that still run after `minutes`."""
+def stale_runs(runs: DataFrame, as_of: Column, minutes: int = 120, days: int = 7, most: int = 100) -> DataFrame:
+    """Runs of the last days that still run after `minutes`; the `most` oldest."""
     states = run_states(runs)
     age = F.unix_micros(as_of) - F.unix_micros("started_at_utc")
-    return states.where((F.col("status") == "running") & (age > minutes * 60_000_000) & (age <= days * 86_400_000_000))
+    return states.where((F.col("status") == "running") & (age > minutes * 60_000_000) & (age <= days * 86_400_000_000)).orderBy("started_at_utc", "run_id").limit(most)
 
 
 def superseding(stale: DataFrame, as_of: Column) -> DataFrame:
@@ -136,17 +137,102 @@ def incidents(anomalies: DataFrame, at: Column, pager: str = "P1", chat: str = "
     return anomalies.where(rank <= RANK["P2"]).select("pipeline_name", "run_id", "severity", at.alias("fired_at_utc"), F.col("anomaly_type").alias("title"), F.concat_ws("-", F.lit("pipeline"), "pipeline_name", "anomaly_type").alias("dedup_key"), sinks.alias("sinks"))
 
 
+def run_anomalies(states: DataFrame) -> DataFrame:
+    """Volume and duration anomalies of all runs, in one frame."""
+    return volume_anomalies(states).unionByName(duration_anomalies(states))
+
+
+def post_run_checks(states: DataFrame, slas: DataFrame) -> DataFrame:
+    """The five checks of finished runs: failure, least rows, greatest duration, and the
+    two anomalies. Checks against an SLA have no score."""
+    columns = ("run_id", "pipeline_name", "anomaly_type", "severity", "observed_value", "expected_value", "z_score")
+    ruled = run_checks(states, slas)
+    return run_anomalies(states).select(*columns).unionByName(ruled.select(*(F.col(c) if c in ruled.columns else F.lit(None).cast("double").alias(c) for c in columns)))
+
+
+class Monitor:
+    """The monitoring tables under a folder, divided by day: runs, anomalies, incidents,
+    scores. Whole frames are appended; `sinks` (by name) get incidents one by one."""
+
+    def __init__(self, spark: SparkSession, root: str, slas: DataFrame | None = None, sinks: dict | None = None, clock=lambda: datetime.now(timezone.utc)):
+        from lodestrata.plans.table import VersionedTable
+
+        self.spark, self.clock, self.sinks = spark, clock, sinks or {}
+        self.slas = spark.createDataFrame([], "pipeline_name string, freshness_sla_minutes int, max_duration_minutes int, min_rows long") if slas is None else slas
+        self.tables = {name: VersionedTable(spark, f"{root}/{name}", ("day",)) for name in ("anomalies", "incidents", "scores")}
+        self.log = RunLog(spark, f"{root}/runs", clock)
+
+    def _add(self, name: str, rows: DataFrame, at: Column) -> None:
+        self.tables[name].append(rows.withColumn("day", F.to_date(at)))
+
+    def add_anomalies(self, found: DataFrame, at: Column) -> None:
+        """Store what checks found."""
+        told = F.concat_ws(" ", "anomaly_type", F.lit("of"), "pipeline_name")
+        self._add("anomalies", found.select(F.expr("uuid()").alias("anomaly_id"), "pipeline_name", "run_id", "anomaly_type", at.alias("detected_at_utc"), "severity", "observed_value", "expected_value", "z_score", told.alias("description")), at)
+
+    def add_incidents(self, found: DataFrame, at: Column) -> list[dict]:
+        """Store the incidents of what checks found, and hand those of them that name a
+        known sink to it; they are few, since a run has five checks."""
+        rows = incidents(found, at).withColumns({"incident_id": F.expr("uuid()"), "description": F.concat_ws(" ", "title", F.lit("of"), "pipeline_name")})
+        from lodestrata.operators.sinks import deliver
+
+        sent = deliver([r.asDict() for r in rows.collect()], {"store": lambda _: 0, **self.sinks})
+        names = ("incident_id", "pipeline_name", "run_id", "severity", "fired_at_utc", "title", "description", "dedup_key", "sinks", "codes")
+        if sent:
+            self._add("incidents", self.spark.createDataFrame([tuple(x.get(n) for n in names) for x in sent], INCIDENTS), at)
+        return sent
+
+    def add_score(self, report, at: datetime, run_id: str | None = None, path: str | None = None) -> None:
+        """Store the score of a quality report."""
+        n = len(report.outcomes)
+        good = sum(o.success for o in report.outcomes)
+        ddl = "run_id string, dataset_name string, suite_name string, layer string, evaluated_at_utc timestamp, data_quality_score double, threshold double, passed_threshold boolean, severity string, total_expectations long, passed_expectations long, failed_expectations long, row_count long, report_path string"
+        row = (run_id or uuid.uuid4().hex, report.dataset, report.suite, report.layer, at, report.score, report.threshold, report.passed, report.severity, n, good, n - good, report.row_count, path)
+        self._add("scores", self.spark.createDataFrame([row], ddl), F.col("evaluated_at_utc"))
+
+    def end(self, run: str, status: str = "succeeded", **facts) -> list[dict]:
+        """End a run, check it, store what was found, and tell the sinks; the incidents."""
+        name = self.log.open[run]["pipeline_name"] if run in self.log.open else None
+        self.log.end(run, status, **facts)
+        states = run_states(self.log.table.read().where(F.col("pipeline_name") == name))
+        found = post_run_checks(states, self.slas).where(F.col("run_id") == run).persist()
+        at = F.lit(self.clock())
+        try:
+            self.add_anomalies(found, at)
+            return self.add_incidents(found, at)
+        finally:
+            found.unpersist()
+
+    def reconcile(self, minutes: int = 120) -> int:
+        """Mark runs that never ended as failed, with an incident (P2) each; how many."""
+        now = F.lit(self.clock()).cast("timestamp")
+        if not self.log.table.exists():
+            return 0
+        stale = stale_runs(self.log.table.read(), now, minutes).persist()
+        try:
+            n = stale.count()
+            if n:
+                found = stale.select("run_id", "pipeline_name", F.lit("stale_run").alias("anomaly_type"), F.lit("P2").alias("severity"), *(F.lit(None).cast("double").alias(c) for c in ("observed_value", "expected_value", "z_score")))
+                self.add_anomalies(found, now)
+                self.add_incidents(found, now)
+                self.log.table.append(superseding(stale, now))
+        finally:
+            stale.unpersist()
+        return n
+
+
 class RunLog:
-    """Start and end rows of runs, appended to a versioned table."""
+    """Start and end rows of runs, appended to a versioned table that is divided by day."""
 
     def __init__(self, spark: SparkSession, path: str, clock=lambda: datetime.now(timezone.utc)):
         from lodestrata.plans.table import VersionedTable
 
-        self.spark, self.table, self.clock, self.open = spark, VersionedTable(spark, path), clock, {}
+        self.spark, self.table, self.clock, self.open = spark, VersionedTable(spark, path, ("day",)), clock, {}
 
     def _put(self, **values) -> None:
         names = [x.strip().split(" ")[0] for x in RUNS.split(",")]
-        self.table.append(self.spark.createDataFrame([tuple(values.get(n) for n in names)], RUNS))
+        row = self.spark.createDataFrame([tuple(values.get(n) for n in names)], RUNS)
+        self.table.append(row.withColumn("day", F.to_date("started_at_utc")))
 
     def start(self, pipeline: str, **facts) -> str:
         run = uuid.uuid4().hex

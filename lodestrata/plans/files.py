@@ -65,6 +65,10 @@ class Files:
             raise
         return True
 
+    def make_folder(self, path: str) -> None:
+        files, target = self._at(path)
+        files.mkdirs(target)
+
     def delete(self, path: str) -> None:
         files, target = self._at(path)
         files.delete(target, True)

@@ -30,9 +30,12 @@ def _local(servers: str) -> bool:
     return all(s.strip().split(":")[0] in ("localhost", "127.0.0.1", "broker", "kafka") for s in servers.split(","))
 
 
-def source_options(servers: str, protocol: str = "SASL_SSL", mechanism: str = "PLAIN", user: str = "", secret: str = "", starting: str | dict = "earliest") -> dict[str, str]:
-    """Options of Spark's message source. Authenticated protocols need credentials."""
+def source_options(servers: str, protocol: str = "SASL_SSL", mechanism: str = "PLAIN", user: str = "", secret: str = "", starting: str | dict = "earliest", most_rows: int | None = None, least_rows: int | None = None, most_seconds: int | None = None) -> dict[str, str]:
+    """Options of Spark's message source. Authenticated protocols need credentials. A
+    batch has most_rows at most, and waits for least_rows, but for most_seconds only."""
     out = {"kafka.bootstrap.servers": servers, "kafka.security.protocol": protocol, "failOnDataLoss": "false", "startingOffsets": json.dumps(starting) if isinstance(starting, dict) else starting}
+    bounds = {"maxOffsetsPerTrigger": most_rows, "minOffsetsPerTrigger": least_rows, "maxTriggerDelay": f"{most_seconds}s" if most_seconds else None}
+    out |= {k: str(v) for k, v in bounds.items() if v is not None}
     if protocol.startswith("SASL"):
         if not user or not secret:
             raise ValueError(f"{protocol} needs a user and a secret")
@@ -78,6 +81,7 @@ class EntitySpec:
     target: str
     keys: tuple[str, ...]
     order_column: str = "_kafka_timestamp_ms"
+    ties: tuple[str, ...] = ("_kafka_offset",)
     required: tuple[str, ...] = ()
     history: int = 1
     quarantine: str = ""
@@ -109,6 +113,29 @@ def entity_specs(raw: list[dict]) -> list[EntitySpec]:
             raise ValueError(f"history of type {x['history']}: 1 or 2")
         if not x["keys"]:
             raise ValueError(f"{x['name']} has no keys")
-        x = x | {k: tuple(x[k]) for k in ("keys", "required", "masking") if k in x}
+        x = x | {k: tuple(x[k]) for k in ("keys", "required", "ties", "masking") if k in x}
         out.append(EntitySpec(**{k: v for k, v in x.items() if k in EntitySpec.__dataclass_fields__}))
     return out
+
+
+@dataclass(frozen=True)
+class MaintenanceSpec:
+    """What is done to a table at night: clustered by z_order or joined up (only files
+    whose partitions meet `where`), and old files removed after `vacuum_hours` (0: kept)."""
+
+    path: str
+    z_order: tuple[str, ...] = ()
+    where: str = ""
+    target_mb: int = 1024
+    vacuum_hours: int = 168
+
+
+def maintenance_specs(raw: list[dict] | None = None, env=os.environ) -> list[MaintenanceSpec]:
+    """From a list, or from the JSON list in LODESTRATA_MAINTENANCE."""
+    out = []
+    for x in setting("LODESTRATA_MAINTENANCE", kind=list, env=env) if raw is None else raw:
+        _fields(x, ("path",), "maintenance spec")
+        if unknown := sorted(set(x) - set(MaintenanceSpec.__dataclass_fields__)):
+            raise ValueError(f"maintenance spec has unknown {', '.join(unknown)}")
+        out.append(MaintenanceSpec(**x | ({"z_order": tuple(x["z_order"])} if "z_order" in x else {})))
+    return out

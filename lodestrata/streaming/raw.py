@@ -23,35 +23,44 @@ def message_stream(spark: SparkSession, options: dict[str, str], topic: str) ->
     return spark.readStream.format("kafka").options(**options).option("subscribe", topic).load()
 
 
-def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
-    """Records of the same shape from a folder of Parquet files."""
-    return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, files_per_batch: int | None = 1, bytes_per_batch: str | None = None) -> DataFrame:
+    """Records of the same shape from a folder of Parquet files. A batch is bounded by
+    files or by bytes; its age by the trigger."""
+    bound = ("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else ("maxFilesPerTrigger", files_per_batch or 1000)
+    return spark.readStream.schema(RECORD).option(*bound).parquet(folder)
 
 
-def decode_batch(raw: DataFrame, reader: dict, writers: dict[int, dict], as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(decoded rows with meta columns, quarantined rows with raw value and reason)."""
+def decoded_rows(raw: DataFrame, reader: dict, writers: dict[int, dict], as_of: Column | None = None) -> DataFrame:
+    """All rows with meta columns, `decoded` and quarantine_reason (null: sound)."""
     rows = decoded(routed(raw, sorted(writers), as_of), reader, writers)
-    reason = F.coalesce("quarantine_reason", F.when(F.col("decoded").isNull(), BAD_PAYLOAD))
-    rows = rows.withColumn("quarantine_reason", reason)
+    return rows.withColumn("quarantine_reason", F.coalesce("quarantine_reason", F.when(F.col("decoded").isNull(), BAD_PAYLOAD)))
+
+
+def routes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decoded rows with meta columns, quarantined rows with raw value and reason)."""
     good = rows.where("quarantine_reason is null").select("decoded.*", *META)
-    bad = rows.where("quarantine_reason is not null").select("value", *META, "schema_id", "quarantine_reason")
-    return good, bad
+    return good, rows.where("quarantine_reason is not null").select("value", *META, "schema_id", "quarantine_reason")
+
+
+def decode_batch(raw: DataFrame, reader: dict, writers: dict[int, dict], as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both routes of a batch; persist `decoded_rows` where both are written."""
+    return routes(decoded_rows(raw, reader, writers, as_of))
 
 
 def raw_batch_writer(spec: TopicSpec, registry: SchemaRegistry, data: VersionedTable, quarantine: VersionedTable) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function. Known ids are read from the registry each time."""
+    """A foreachBatch function. A batch is decoded once; known ids are read from the
+    registry each time."""
     app = f"raw-{spec.topic}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         _, reader = registry.latest(spec.subject)
-        held = batch.persist()
+        rows = decoded_rows(batch, reader, registry.writers(spec.subject)).persist()
         try:
-            good, bad = decode_batch(held, reader, registry.writers(spec.subject))
-            partitioned = good.withColumn("_date", F.to_date(F.timestamp_millis("_kafka_timestamp_ms")))
+            good, bad = routes(rows)
             quarantine.append(bad, (f"{app}-quarantine", batch_id))
-            data.append(partitioned, (app, batch_id))
+            data.append(good.withColumn("_date", F.to_date(F.timestamp_millis("_kafka_timestamp_ms"))), (app, batch_id))
         finally:
-            held.unpersist()
+            rows.unpersist()
 
     return write
 

@@ -79,10 +79,10 @@ def test_gate_and_report(spark, tmp_path):
     assert dq.gate([{"path": "a", "suite": good}], lambda _: df)[0] == 0
     assert dq.gate([{"path": "a", "suite": bad}], lambda _: df)[0] == 1
     assert dq.gate([{"path": "a", "suite": good}], lambda _: 1 / 0)[0] == 1
-    paths = dq.write_report(dq.validate(df, good, "d"), str(tmp_path))
+    paths = [x.removeprefix("file://") for x in dq.write_report(spark, dq.validate(df, good, "d"), f"file://{tmp_path}/reports")]
     assert json.load(open(paths[0]))["passed"] and "<table>" in open(paths[1]).read()
     (tmp_path / "one.json").write_text(json.dumps(good))
-    assert dq.load_suite(str(tmp_path), "one")["name"] == "one"
+    assert dq.load_suite(str(tmp_path), "one")["name"] == "one" and list(dq.load_all(str(tmp_path))) == ["one"]
     with pytest.raises(FileNotFoundError, match="one"):
         dq.load_suite(str(tmp_path), "two")
 
@@ -95,6 +95,7 @@ def test_masking(spark):
         masking.masked(df, [masking.Rule("email", "tokenize")], env={})
     out, warnings = masking.masked(df, masking.rules([{"column": "email", "strategy": "tokenize"}, {"column": "card", "strategy": "mask_partial_last4"}, {"column": "note", "strategy": "drop"}, {"column": "gone", "strategy": "mask_full"}]), b"k")
     got = [tuple(r) for r in out.collect()]
+    assert masking.token_of("ab@x.com", b"k") == got[0][0] and masking.token_of(None, b"k") is None
     assert got[0] == (hmac.new(b"k", b"ab@x.com", hashlib.sha256).hexdigest()[:32], "XXX4567") and got[1] == (None, None) and got[2][1] == "abc"
     assert warnings == ["no column gone"]
 
@@ -108,9 +109,14 @@ def test_erasure(spark, tmp_path):
         t.append(spark.createDataFrame([("s", "1"), ("s", "2"), ("o'\\", "3"), ("t", "4"), (None, "5")], "cid string, p string"))
         targets.append({"path": t.path, "key": "cid"})
     request = masking.ErasureRequest(["s", "o'\\"], [*targets, {"path": f"file://{tmp_path}/absent", "key": "cid"}])
-    report = masking.erase(spark, request, str(tmp_path / "audit.jsonl"))
+    report = masking.erase(spark, request, f"file://{tmp_path}/audit")
     assert [r["rows_deleted"] for r in report.results] == [3, 3, 0] and not report.complete and report.rows_deleted == 6
-    assert json.loads((tmp_path / "audit.jsonl").read_text())["results"][2]["error"]
+    audit = VersionedTable(spark, f"file://{tmp_path}/audit").read().collect()
+    assert len(audit) == 3 and [r.rows_deleted for r in audit if r.error is None] == [3, 3] and not any(r.complete for r in audit)
+    assert masking.ErasureRequest.of({"subjects": ["a"], "targets": targets}).targets == targets
+    for broken in ({"subjects": ["a"]}, {"subjects": [], "targets": targets}, {"subjects": ["a"], "targets": [{"path": "x"}]}, {"subjects": ["a"], "targets": [], "other": 1}):
+        with pytest.raises(ValueError):
+            masking.ErasureRequest.of(broken)
     with pytest.raises(ValueError):
         masking.erase(spark, masking.ErasureRequest([], targets))
 
@@ -168,3 +174,117 @@ def test_seasonalities_and_verdict(spark):
     assert verdicts("hour_of_day") == [("seasonal", False), ("seasonal", True), (None, False)]
     assert verdicts("hour_of_day", 1e6) == [("seasonal", False), ("seasonal", False), (None, False)]
     assert verdicts("none") == [("seasonal", False), ("seasonal", False), (None, False)]
+
+
+def test_distinct_counts_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "a", b"x", [1]), (1, None, b"y", [1]), (2, "a", None, [2]), (None, "", b"x", None)], "i int, s string, b binary, l array<int>")
+    assert dq.distinct_counts(df, ["i", "s", "b", "l"]) == {"i": 2, "s": 2, "b": 2, "l": 2}
+    assert dq.distinct_counts(df.limit(0), ["i"]) == {"i": 0} and dq.distinct_counts(df, []) == {}
+    assert 0 < dq.sampled(spark.range(2000), 0.1).count() < 400
+
+
+def test_monitor(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    now = [datetime(2024, 1, 1, tzinfo=timezone.utc)]
+    slas = spark.createDataFrame([("p", 60, 100, 5)], "pipeline_name string, freshness_sla_minutes int, max_duration_minutes int, min_rows long")
+    told = []
+    m = monitoring.Monitor(spark, f"file://{tmp_path}/m", slas, {"chat": lambda i: told.append(i["title"]) or 200}, lambda: now[0])
+
+    def run(rows, minutes, status="succeeded"):
+        key = m.log.start("p")
+        now[0] += timedelta(minutes=minutes)
+        out = m.end(key, status, rows_written=rows)
+        now[0] += timedelta(hours=8)
+        return sorted(x["title"] for x in out)
+
+    assert [run(100 + i, 10 + i % 2) for i in range(8)] == [[]] * 8
+    assert run(3, 11) == ["min_rows", "volume_drop"] and run(104, 400) == ["duration_anomaly", "max_duration"] and run(0, 1, "failed") == ["run_failed"]
+    assert sorted(told) == ["duration_anomaly", "max_duration", "min_rows", "run_failed", "volume_drop"]
+    assert m.tables["anomalies"].read().count() == m.tables["incidents"].read().count() == 5
+    assert len({x["partition"]["day"] for x in m.tables["incidents"].files()}) >= 2
+    m.log.start("p")
+    now[0] += timedelta(hours=5)
+    assert m.reconcile() == 1 and m.reconcile() == 0 and m.tables["incidents"].read().where("title = 'stale_run' and severity = 'P2'").count() == 1
+    report = dq.run_suite(spark.range(3), {"expectations": [{"expectation_type": "expect_column_to_exist", "kwargs": {"column": "x"}}]}, "d", monitor=m)
+    assert not report.passed and m.tables["scores"].read().first().failed_expectations == 1
+    with pytest.raises(ValueError):
+        dq.run_suite(spark.range(3), {"expectations": []}, "d", raise_on_failure=True)
+
+
+def test_steps_end_in_time(spark, tmp_path):
+    import sys
+    import time
+
+    log = monitoring.RunLog(spark, f"file://{tmp_path}/runs")
+    slow = F.udf(lambda x: time.sleep(30) or x, "long")
+    began = time.time()
+    with pytest.raises(jobs.JobFailed) as failure:
+        jobs.run_job("j", [jobs.Step("slow", lambda: spark.range(1).select(slow("id")).collect(), 0.03), jobs.Step("next", lambda: 0)], log)
+    assert time.time() - began < 25 and failure.value.args[0] == [("slow", "failed"), ("next", "skipped")]
+    assert jobs.submit([sys.executable, "-c", "import os; raise SystemExit(int(os.environ['CODE']))"], {"CODE": "3"}) == 3
+    assert jobs.submit([sys.executable, "-c", "import time; time.sleep(60)"], minutes=0.01) == 124
+
+
+def test_wired_jobs_and_entry_points(spark, tmp_path, capsys):
+    from lodestrata import cli
+    from lodestrata.plans.table import VersionedTable
+    from lodestrata.sources.specs import EntitySpec, MaintenanceSpec, maintenance_specs
+
+    root = f"file://{tmp_path}"
+    raw = VersionedTable(spark, f"{root}/raw", ("_date",))
+    raw.append(spark.createDataFrame([("a", 1, 1, "2024-01-01"), ("a", 2, 2, "2024-01-02"), ("b", 1, 3, "2024-01-01")], "k string, v int, o long, _date string"))
+    specs = [EntitySpec("one", raw.path, f"{root}/one", ("k",), "o"), EntitySpec("two", raw.path, f"{root}/two", ("k",), "o", history=2)]
+    monitor = monitoring.Monitor(spark, f"{root}/m")
+    good = {"expectations": [{"expectation_type": "expect_column_to_exist", "kwargs": {"column": "k"}}], "name": "s"}
+    gated = [{"path": f"{root}/one", "suite": good}]
+    assert jobs.run_job("hourly", jobs.wired_hourly(spark, specs, root, monitor, gated), monitor.log) == [("freshness", "succeeded"), ("merge", "succeeded"), ("quality_gate", "succeeded")]
+    assert sorted((r.k, r.v) for r in VersionedTable(spark, f"{root}/one").read().collect()) == [("a", 2), ("b", 1)]
+    assert VersionedTable(spark, f"{root}/two").read().where("_is_current").count() == 2
+    raw.append(spark.createDataFrame([("a", 5, 9, "2024-01-03")], "k string, v int, o long, _date string"))
+    jobs.merge_entities(spark, specs, root)
+    assert sorted((r.k, r.v) for r in VersionedTable(spark, f"{root}/one").read().collect()) == [("a", 5), ("b", 1)] and VersionedTable(spark, f"{root}/two").read().count() == 3
+    assert jobs.rebuild_entity(spark, specs[0], "2024-01-03") == {"rows_written": 1}
+    nightly = jobs.wired_nightly(spark, monitor, [MaintenanceSpec(f"{root}/one"), MaintenanceSpec(raw.path, where="_date = '2024-01-01'")])
+    assert [s for _, s in jobs.run_job("nightly", nightly, monitor.log)] == ["succeeded"] * 2
+    with pytest.raises(jobs.JobFailed):
+        jobs.run_job("nightly", jobs.wired_nightly(spark, monitor, [MaintenanceSpec(f"{root}/absent", where="x = 1", z_order=("q",))] ) + [jobs.Step("bad", lambda: 1)], monitor.log)
+
+    def run(command, content, *more):
+        (tmp_path / "in.json").write_text(json.dumps(content))
+        return cli.main([command, str(tmp_path / "in.json"), *more], spark)
+
+    assert run("gate", gated) == 0 and run("gate", [{"path": f"{root}/absent", "suite": good}]) == 1 and run("gate", [{"path": "x"}]) == 2
+    assert run("erase", {"subjects": ["a"], "targets": [{"path": f"{root}/one", "key": "k"}]}, "--audit", f"{root}/audit") == 0
+    assert run("erase", {"subjects": ["a"], "targets": [{"path": f"{root}/absent", "key": "k"}]}) == 1 and run("erase", {"subjects": []}) == 2
+    assert run("maintain", [{"path": f"{root}/one", "vacuum_hours": 168}]) == 0 and run("maintain", [{"path": f"{root}/one", "nights": 1}]) == 2
+    assert VersionedTable(spark, f"{root}/one").read().count() == 1 and VersionedTable(spark, f"{root}/audit").read().first().rows_deleted == 1
+    assert maintenance_specs(env={"LODESTRATA_MAINTENANCE": '[{"path": "p", "z_order": ["a"]}]'}) == [MaintenanceSpec("p", ("a",))]
+
+
+def test_streams_are_counted_and_stopped(spark, tmp_path):
+    from lodestrata.streaming.conformed import Progress, lag_of
+    from lodestrata.streaming.runner import Reporter, Runner
+
+    progress, told = Progress(), []
+    spark.streams.addListener(progress)
+    try:
+        queries = {n: spark.readStream.format("rate").option("rowsPerSecond", 50).load().writeStream.foreachBatch(lambda df, i: df.count()).option("checkpointLocation", f"file://{tmp_path}/{n}").start() for n in "ab"}
+        runner = Runner(queries)
+        with Reporter(progress, told.append, 0.2):
+            import threading
+
+            threading.Timer(6, runner.stop).start()
+            assert runner.wait() == {"a": "stopped", "b": "stopped"}
+        assert progress.started == 2 and progress.batches > 0 and any("lodestrata_batches" in x for x in told)
+
+        def fail(df, i):
+            raise RuntimeError("broken batch")
+
+        queries = {"ok": spark.readStream.format("rate").load().writeStream.foreachBatch(lambda df, i: None).start(), "bad": spark.readStream.format("rate").load().writeStream.foreachBatch(fail).start()}
+        with pytest.raises(Exception, match="broken batch"):
+            Runner(queries).wait()
+        assert not any(q.isActive for q in queries.values())
+    finally:
+        spark.streams.removeListener(progress)
+    assert lag_of('{"t": {"0": 5, "1": 7}}', '{"t": {"0": 9, "1": 7}, "u": {"0": 2}}') == {"t/0": 4, "t/1": 0, "u/0": 2} and lag_of(None, "3") == {}
