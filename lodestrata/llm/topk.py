@@ -11,11 +11,13 @@ the first block a query's k-th score is that among the sample.
 Trees are over directions (vectors at length one); distances are chords. A node of
 level i covers its points within RATIO ** -i * 2 of its centre, its children's centres
 lie farther apart than the children's level allows them to cover, and a node's centre
-is its first child's. For a node of queries and one of candidates whose centres lie
+is its first child's. Small children share a node, so that points are scored many at
+a time. For a node of queries and one of candidates whose centres lie
 at an angle t, and whose points lie within angles r and s of them, no cosine exceeds
 cos(t - r - s); with the nodes' least and greatest norms that bounds the inner
 product. A pair of nodes is pruned when the bound is below the worst k-th score of
-the node's queries.
+the node's queries. Before two leaves are scored, each candidate of the one is held
+against the node of queries, and each query against the node of candidates.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ BLOCK, BLOCK_BYTES = 2048, 8 << 20
 BATCH, BATCH_BYTES = 16_384, 32 << 20
 #: Rows of the sample that pivots and first bounds come from, its bytes, and pivots, at most.
 SAMPLE, SAMPLE_BYTES, PIVOTS = 4096, 32 << 20, 512
-#: A node of at most so many points isn't divided.
-LEAF = 32
+#: A node of at most so many points isn't divided, and shares a node with such siblings;
+#: of queries, which are fewer, so many.
+LEAF, QUERY_LEAF = 32, 8
 #: How much less each level covers than the one above it.
 RATIO = 1.3
 #: Added to angles against rounding.
@@ -66,8 +69,8 @@ class CoverTree:
     """A cover tree over directions; points stand in its order (`order` names their
     rows), so a node's are those from lo to before hi, its centre the first of them.
     Nodes as parallel arrays: lo, hi, centre, level, parent, angle (to the farthest
-    point), least and most (norms). Children of one point each that stand side by
-    side share a node of level -1 around their parent's centre."""
+    point), least and most (norms). Children of at most `leaf` points share a node of
+    level -1 around their parent's centre."""
 
     FIELDS = ("order", "lo", "hi", "centre", "level", "parent")
     MEASURES = ("angle", "least", "most")
@@ -79,7 +82,7 @@ class CoverTree:
         at = 0
         while stack:
             rows, dist, level, parent = stack.pop()
-            if level < 0:  # children of one point each
+            if level < 0:  # small children
                 nodes.append([at, at + len(rows), nodes[parent][2], -1, parent, float(dist.max())])
                 order.append(rows)
                 at += len(rows)
@@ -95,11 +98,16 @@ class CoverTree:
                 at += len(rows)
                 continue
             groups = net(points, rows, dist, cover_radius(level + 1))
-            lone = np.array([r[0] for r, _ in groups[1:] if len(r) == 1], np.int64)
-            if len(lone):
-                stack.append((lone, chords(points[lone], points[rows[:1]])[:, 0], -1, node))
-            stack += [(r, d, level + 1, node) for r, d in groups[:0:-1] if len(r) > 1]
-            stack.append((*groups[0], level + 1, node))
+            large = [g for g in groups if len(g[0]) > leaf]
+            small = [r for r, _ in groups if len(r) <= leaf]
+            if small:
+                together = np.concatenate(small)
+                stack.append((together, chords(points[together], points[rows[:1]])[:, 0], -1, node))
+                if len(groups[0][0]) <= leaf:  # then the centre is the first of them
+                    stack[-1], pooled = None, stack[-1]
+                    stack[-1:] = [(r, d, level + 1, node) for r, d in large[::-1]] + [pooled]
+                    continue
+            stack += [(r, d, level + 1, node) for r, d in large[::-1]]
         self.order = np.concatenate(order) if order else np.zeros(0, np.int64)
         table = np.array(nodes, np.float64).reshape(-1, 6)
         self.lo, self.hi, self.centre, self.level, self.parent = (table[:, i].astype(np.int64) for i in range(5))
@@ -208,10 +216,13 @@ class Best:
 def bounds(a: Side, i: int, b: Side, nodes: np.ndarray) -> np.ndarray:
     """No inner product of points of a's node i and of b's nodes exceeds these."""
     t, u = a.tree, b.tree
-    cosine = np.clip(b.points[u.centre[nodes]] @ a.points[t.centre[i]], -1, 1)
-    most = np.cos(np.clip(np.arccos(cosine) - t.angle[i] - u.angle[nodes] - SLACK, 0, np.pi))
-    top = np.where(most >= 0, t.most[i] * u.most[nodes], t.least[i] * u.least[nodes]) * most
-    return top + 1e-9 * (1 + t.most[i] * u.most[nodes])
+    return _bound(b.points[u.centre[nodes]] @ a.points[t.centre[i]], t.angle[i] + u.angle[nodes], (t.least[i], t.most[i]), (u.least[nodes], u.most[nodes]))
+
+
+def _bound(cosine: np.ndarray, angles, one: tuple, other: tuple) -> np.ndarray:
+    most = np.cos(np.clip(np.arccos(np.clip(cosine, -1, 1)) - angles - SLACK, 0, np.pi))
+    top = np.where(most >= 0, one[1] * other[1], one[0] * other[0]) * most
+    return top + 1e-9 * (1 + one[1] * other[1])
 
 
 def search(queries: Side, first: int, candidates: Side, best: Best) -> int:
@@ -238,7 +249,18 @@ def search(queries: Side, first: int, candidates: Side, best: Best) -> int:
             continue
         mine, theirs = queries.children[i], candidates.children[j]
         if not len(mine) and not len(theirs):
-            at, b = np.arange(t.lo[i], t.hi[i]), slice(u.lo[j], u.hi[j])
+            at, b = np.arange(t.lo[i], t.hi[i]), np.arange(u.lo[j], u.hi[j])
+            if len(at) > 2:  # one product tells for the whole node of queries
+                norms = candidates.norms[b]
+                tops = _bound(candidates.points[b] @ queries.points[t.centre[i]], t.angle[i], (t.least[i], t.most[i]), (norms, norms))
+                b = b[tops >= worst.min()]
+                if not len(b):
+                    continue
+            norms = queries.norms[at]
+            tops = _bound(queries.points[at] @ candidates.points[u.centre[j]], u.angle[j], (norms, norms), (u.least[j], u.most[j]))
+            at = at[tops >= worst]
+            if not len(at):
+                continue
             scores = queries.vectors[at] @ candidates.vectors[b].T
             scores[queries.rows[at][:, None] == candidates.rows[b][None, :]] = -np.inf
             scored += scores.size
@@ -279,7 +301,7 @@ def _side(row: dict) -> Side:
     return Side(vectors, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["rows"], np.int64), CoverTree.stored(row))
 
 
-def index(rows: DataFrame, pivots: dict[int, np.ndarray], name: str) -> DataFrame:
+def index(rows: DataFrame, pivots: dict[int, np.ndarray], name: str, leaf: int = LEAF) -> DataFrame:
     """One row a block of `rows` (vec_id, _row, _dim, embedding): its vectors in the
     order of its cover tree, and the tree. pivots: directions by dimension."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS directions at most
@@ -310,7 +332,7 @@ def index(rows: DataFrame, pivots: dict[int, np.ndarray], name: str) -> DataFram
         group = group.sort_by("_row")
         vectors, column = _matrix(group.column("embedding").combine_chunks()), group.column("vec_id")
         null = column.is_null().to_numpy()
-        side = Side.of(vectors, column.fill_null(0).to_numpy(), null, group.column("_row").to_numpy())
+        side = Side.of(vectors, column.fill_null(0).to_numpy(), null, group.column("_row").to_numpy(), leaf)
         narrow = side.largest < 2**15
         raw = (b"s" if narrow else b"d").ljust(8) + np.ascontiguousarray(side.vectors.astype(np.int16 if narrow else np.float64)).tobytes()
         fields = {"dim": vectors.shape[1], "n": len(vectors), "vectors": raw, "ids": side.ids.tobytes(), "nulls": side.null.tobytes(), "rows": side.rows.tobytes(), **side.tree.fields()}
@@ -364,7 +386,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         samples[dim] = (_matrix(part.column("embedding").combine_chunks()), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), part.column("_row").to_numpy())
     tops = lambda rows: {d: top_of(directions(s[0])[0], max(1, min(PIVOTS, rows // BLOCK))) for d, s in samples.items()}
     candidates = index(sound, tops(n), "index")
-    wanted = index(sound.where(is_query), tops(n_queries), "queries")
+    wanted = index(sound.where(is_query), tops(n_queries), "queries", QUERY_LEAF)
 
     results, batch = [], []
     for row in wanted.toLocalIterator():

@@ -75,19 +75,34 @@ def test_cover_tree(points):
         if len(children[node]):
             parts = np.concatenate([np.arange(tree.lo[c], tree.hi[c]) for c in children[node]])
             assert sorted(parts) == list(inside)
-            centres = np.concatenate([np.arange(tree.lo[c], tree.hi[c]) if tree.level[c] < 0 else [tree.centre[c]] for c in children[node]])
-            assert centre in centres and all(tree.level[c] < 0 or tree.level[c] > level for c in children[node])  # nesting, levels
+            centres = np.array([tree.centre[c] for c in children[node] if tree.level[c] >= 0], np.int64)
+            pool = np.concatenate([np.zeros(0, np.int64), *(np.arange(tree.lo[c], tree.hi[c]) for c in children[node] if tree.level[c] < 0)])
+            assert centre == tree.lo[children[node]].min() and all(tree.level[c] < 0 or tree.level[c] > level for c in children[node])  # nesting, levels
             apart = chord(centres, centres)[~np.eye(len(centres), dtype=bool)]
             assert apart.min(initial=9) > topk.cover_radius(level + 1) - topk.SLACK  # separation
-            assert chord(np.array([centre]), centres).max() <= topk.cover_radius(level) + topk.SLACK
+            assert chord(np.array([centre]), np.append(centres, pool)).max() <= topk.cover_radius(level) + topk.SLACK
+            assert all(tree.hi[c] - tree.lo[c] > 16 for c in children[node] if tree.level[c] >= 0)
         else:
             assert hi - lo <= 16 or reach <= 2 * topk.SLACK
 
 
+@pytest.mark.parametrize("share", [0.7, 0])
+def test_nets_cover_and_separate(share):
+    points = clustered(800, share=share)
+    for radius in (0.5, 1.1, 1.3):
+        groups = topk.net(points, np.arange(800), topk.chords(points, points[:1])[:, 0], radius)
+        assert sorted(np.concatenate([r for r, _ in groups])) == list(range(800)) and groups[0][0][0] == 0
+        centres = points[[r[0] for r, _ in groups]]
+        apart = topk.chords(centres, centres)[~np.eye(len(centres), dtype=bool)]
+        assert apart.min(initial=9) > radius - topk.SLACK
+        for r, d in groups:
+            assert np.allclose(topk.chords(points[r], points[r[:1]])[:, 0], d, atol=1e-6) and d.max() <= radius + topk.SLACK
+
+
 def scored_share(points, queries):
     whole = np.floor(1024 * points)
-    side = lambda at: topk.Side.of(whole[at], at, np.zeros(len(at), bool), at)
-    q, c = side(queries), side(np.arange(len(points)))
+    side = lambda at, leaf: topk.Side.of(whole[at], at, np.zeros(len(at), bool), at, leaf)
+    q, c = side(queries, topk.QUERY_LEAF), side(np.arange(len(points)), topk.LEAF)
     best = topk.Best(len(queries), 10)
     scored = topk.search(q, 0, c, best)
     scores = whole[q.rows] @ whole.T
