@@ -186,3 +186,36 @@ def test_of_repeated_revisions_one_counts(spark, tmp_path):
     rollup.commit("1", spark.createDataFrame([("insert", 1, "s", "en", "one")], ddl))
     rollup.commit("2", spark.createDataFrame([("revise", 1, "s", "en", "a b"), ("revise", 1, "s", "en", "b c d"), ("revise", 1, "s", "en", None), ("revise", None, "s", "en", "x"), ("revise", None, "s", "en", "x")], ddl))
     assert [(r.n_docs, r.n_tokens, r.n_bytes) for r in rollup.totals().collect()] == [(3, 5, 7)]
+
+
+def test_compacted_rollups(spark, tmp_path, monkeypatch):
+    from lodestrata.llm import rollup as module
+
+    monkeypatch.setattr(module, "COMPACT", 2)
+    ddl = "change string, doc_id long, source string, lang string, text string"
+    rollup = TokenRollup(spark, f"file://{tmp_path}/r", {"a": (JSON, P.PATTERN)})
+    assert rollup.compact() is None
+    held: list = []
+    r = random.Random(3)
+    for k in range(9):
+        gone, new = {r.randint(0, 9) for _ in range(2)}, [r.randint(0, 9) for _ in range(3)]
+        rows = [("delete", i, None, None, None) for i in gone] + [("insert", i, "s", None, "a b" * (i + k)) for i in new] + [("insert", None, "s", "x", "c")] + [("delete", 77, None, None, None)]
+        assert rollup.commit(f"{k:02}", spark.createDataFrame(rows, ddl)) and not rollup.commit(f"{k:02}", spark.createDataFrame(rows, ddl))
+        held = [x for x in held if x[0] not in gone] + [(i, "s", None, "a b" * (i + k)) for i in new] + [(None, "s", "x", "c")]
+        got = {(x.source, x.lang): (x.n_docs, x.n_bytes) for x in rollup.totals().collect()}
+        want: dict = {}
+        for _, s, l, t in held:
+            n, b = want.get((s, l), (0, 0))
+            want[s, l] = n + 1, b + len(t)
+        assert got == want
+    assert len(rollup._paths("entries")) <= 3 and len(rollup._bases()) <= 2
+    empty = spark.createDataFrame([], ddl)
+    assert rollup.commit("99", empty) and {(x.source, x.lang): (x.n_docs, x.n_bytes) for x in rollup.totals().collect()} == want
+
+
+def test_an_insert_and_a_deletion_in_one_batch(spark, tmp_path):
+    ddl = "change string, doc_id long, source string, lang string, text string, bucket string"
+    rollup = TokenRollup(spark, f"file://{tmp_path}/r", {"a": (JSON, P.PATTERN)})
+    rollup.commit("1", spark.createDataFrame([("insert", 1, "s", "en", "one", "x"), ("insert", 1, "s", "en", "one", "x")], ddl))
+    rollup.commit("2", spark.createDataFrame([("insert", 1, "s", "en", "two", "x"), ("delete", 1, None, None, None, None), ("delete", 1, None, None, None, None)], ddl))
+    assert [(r.n_docs, r.n_bytes) for r in rollup.totals().collect()] == [(1, 3)]
