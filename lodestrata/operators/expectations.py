@@ -149,6 +149,8 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     """How many different values, but null, each column has; one pass over all of them."""
     if not columns:
         return {}
+    if len(columns) == 1:
+        return {columns[0]: df.select(f"`{columns[0]}`").where(F.col(f"`{columns[0]}`").isNotNull()).distinct().count()}
     values = [F.struct(F.lit(i).alias("i"), (F.hex(c) if kind == "binary" else c.cast("string") if not kind.startswith(("array", "map", "struct")) else F.when(c.isNotNull(), F.to_json(F.struct(c)))).alias("v")) for i, (c, kind) in enumerate((F.col(f"`{x}`"), dict(df.dtypes)[x]) for x in columns)]
     each = df.select(F.explode(F.array(*values)).alias("x")).select("x.i", "x.v").where("v is not null")
     found = each.groupBy("i", "v").agg(F.lit(1)).groupBy("i").agg(F.count("*").alias("n")).collect()  # a row a column
