@@ -8,61 +8,19 @@ number of rows in a batch.
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
 import weakref
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from lodestrata.session import shared_folder as shared_dir, ship, table  # noqa: F401
 
 #: Bytes of text that a Python worker holds in numpy form at a time.
 CHUNK_BYTES = 2 << 20
 
-_SHIPPED: set[str] = set()
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their
-    workers can import it wherever it is installed on the driver only."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(), "lodestrata_pkg.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(target)
-    _SHIPPED.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where the session has
-    none, a temporary folder takes its place if driver and executors are one
-    process; on a cluster that is an error, since executors can't see each other's
-    disks."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
 #: Makes Spark drop a query's shuffle files when the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
