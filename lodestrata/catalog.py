@@ -650,8 +650,6 @@ def stream_available_now_conformed(spark, sf):
 
 @query("stream_available_now_raw", f"select coalesce({ROUTE}, 'valid') as route, count(*) as n from events group by 1")
 def stream_available_now_raw(spark, sf):
-    import tempfile
-
     from lodestrata.sources.registry import SchemaRegistry
     from lodestrata.sources.specs import TopicSpec
     from lodestrata.streaming.conformed import await_all
@@ -663,7 +661,7 @@ def stream_available_now_raw(spark, sf):
     m = messages(spark, sf)
     header = F.when(wire.framed(), F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(number[wire.schema_id().cast("int")].cast("long")), 8, "0"), F.hex(wire.payload())))).otherwise(F.col("value"))
     m.withColumn("value", header).repartitionByRange(3, "offset").write.parquet(f"{base}/in")
-    registry = SchemaRegistry(tempfile.mkdtemp())  # read by the driver only
+    registry = SchemaRegistry(spark, f"{base}/schemas")
     registry.register("events-value", writers()[8])
     registry.register("events-value", writers()[7])
     data, bad = VersionedTable(spark, f"{base}/data"), VersionedTable(spark, f"{base}/quarantine")

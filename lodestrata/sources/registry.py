@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+import uuid
 
+from pyspark.sql import SparkSession
+
+from lodestrata.plans.files import Files
 from lodestrata.sources.avro import compatible, parse
 
 
 class SchemaRegistry:
-    """Lookups are read when asked for, so ids that were added later are found."""
+    """Wherever Spark reads and writes. Lookups are read when asked for, so ids that
+    were added later are found."""
 
-    def __init__(self, folder: str):
-        self.folder = Path(folder)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.disk, self.folder = Files(spark), folder.rstrip("/")
 
     def _versions(self, subject: str) -> list[dict]:
-        files = (self.folder / subject).glob("*.json")
-        return [json.loads(p.read_text()) for p in sorted(files, key=lambda p: int(p.stem))]
+        at = f"{self.folder}/{subject}"
+        numbers = sorted(int(x.removesuffix(".json")) for x in self.disk.names(at) if x.endswith(".json") and not x.startswith("."))
+        return [json.loads(self.disk.read(f"{at}/{n}.json")) for n in numbers]
 
     def register(self, subject: str, schema: str | dict) -> int:
         """Add a version (unless the last one is the same); its id."""
@@ -25,14 +30,13 @@ class SchemaRegistry:
         if found and found[-1]["schema"] == schema:
             return found[-1]["id"]
         ids = [x["id"] for s in self.subjects() for x in self._versions(s)]
-        entry = {"id": max(ids, default=0) + 1, "schema": schema}
-        (self.folder / subject).mkdir(parents=True, exist_ok=True)
-        with (self.folder / subject / f"{len(found) + 1}.json").open("x") as file:
-            json.dump(entry, file)
+        entry, at = {"id": max(ids, default=0) + 1, "schema": schema}, f"{self.folder}/{subject}"
+        if not self.disk.write_new(f"{at}/{len(found) + 1}.json", json.dumps(entry), f"{at}/.{uuid.uuid4().hex}"):
+            raise FileExistsError(f"version {len(found) + 1} of {subject} was added meanwhile")
         return entry["id"]
 
     def subjects(self) -> list[str]:
-        return sorted(p.name for p in self.folder.iterdir() if p.is_dir()) if self.folder.exists() else []
+        return self.disk.names(self.folder)
 
     def schema(self, schema_id: int) -> dict:
         for subject in self.subjects():

@@ -54,8 +54,8 @@ def test_compatibility():
     assert avro.compatible("long", "int") and not avro.compatible("int", "long")
 
 
-def test_registry(tmp_path):
-    r = SchemaRegistry(str(tmp_path))
+def test_registry(spark, tmp_path):
+    r = SchemaRegistry(spark, f"file://{tmp_path}")
     assert r.register("s", PAYMENT) == 1 and r.register("s", PAYMENT) == 1
     second = {**PAYMENT, "fields": [*PAYMENT["fields"], {"name": "n", "type": "int", "default": 0}]}
     assert r.accepts("s", second) and r.register("s", second) == 2
@@ -140,3 +140,14 @@ print("got", avro.decoded(rows, schema, {{1: schema}}).first().decoded.a)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "got 5" in done.stdout, done.stderr[-2000:]
+
+
+def test_message_source_options(spark):
+    from pyspark.errors import AnalysisException
+
+    from lodestrata.streaming.raw import message_stream
+
+    options = specs.source_options("broker:9092", "PLAINTEXT", most_rows=5000, least_rows=100, most_seconds=5)
+    assert {k: options[k] for k in ("maxOffsetsPerTrigger", "minOffsetsPerTrigger", "maxTriggerDelay")} == {"maxOffsetsPerTrigger": "5000", "minOffsetsPerTrigger": "100", "maxTriggerDelay": "5s"}
+    with pytest.raises(AnalysisException, match="(?i)kafka"):  # the connector isn't on this class path
+        message_stream(spark, options, "t")
