@@ -319,3 +319,20 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = grouped(docs, size, percent)
     is_lead = F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.text_key") == F.col("text_key"))
     return rows.where(F.col("set_key").isNull() | is_lead).select("doc_id", "text_key").distinct()
+
+
+#: The same groups by all pairs of different sets that share a shingle.
+SQL = r"""
+with recursive t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+w as (select doc_id, regexp_extract_all(x, '[^\x20\x09-\x0D]+') as w from t),
+s as (select doc_id, list_sort(case when len(w) >= 2 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) else w end) as s from w),
+c as (select s, min(doc_id) as id, len(s) as n from s where len(s) > 0 group by s),
+u as (select id, n, unnest(s) as g from c),
+p as (select a.id as a, b.id as b, a.n as an, b.n as bn, count(*) as shared from u a join u b on a.g = b.g and a.id < b.id and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n group by all),
+l as (select a, b from p where 100 * shared >= 80 * (an + bn - shared)),
+e as (select a, b from l union all select b, a from l),
+r(id, root) as (select id, id from c union select e.b, r.root from r join e on r.id = e.a),
+m as (select id, min(root) as root from r group by id)
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(m.root, s.doc_id) as component_id, s.doc_id = coalesce(m.root, s.doc_id) as kept
+from s left join c on c.s = s.s left join m on m.id = c.id
+"""

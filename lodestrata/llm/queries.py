@@ -8,7 +8,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm import quality, topk
+from lodestrata.llm import minhash, quality, topk
 from lodestrata.llm.common import shared_dir, table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -119,4 +119,4 @@ QUERIES = {
     "op10_cover_tree_top_k": op10_cover_tree_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_ledger": quality.SQL, "op10_cover_tree_top_k": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_near_dedup": minhash.SQL, "op6_quality_ledger": quality.SQL, "op10_cover_tree_top_k": topk.SQL}

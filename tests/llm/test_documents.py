@@ -102,6 +102,12 @@ def test_near_duplicates(spark, sf, monkeypatch, cell):
         assert sorted(got, key=str) == sorted(brute_groups(rows, size, 80), key=str)
 
 
+def test_near_duplicates_agree_with_sql(spark, sf, duck):
+    from lodestrata.llm.queries import op4_minhash_near_dedup
+
+    assert_same(op4_minhash_near_dedup(spark, sf), duck.sql(minhash.SQL).df())
+
+
 def test_a_boilerplate_bucket_is_split(spark, monkeypatch):
     """Sets that share buckets but are mostly no duplicates, and some that are."""
     monkeypatch.setattr(minhash, "CELL", 8)
