@@ -284,9 +284,13 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         labels = materialize(components(links.unionByName(more)), "labels")
 
     named = nodes.select("id", "set_key", "lead", "copies").join(labels, "id", "left")
-    least = named.where("root is not null").groupBy("root").agg(F.min("lead").alias("least"))
-    found = materialize(named.join(least, "root", "left").select("set_key", F.coalesce("least", "lead").alias("lead"), many.alias("many")), "leads")
-    discard(nodes, sizes, shared, sets, links, open_, more, labels)
+    linked, alone = named.where("root is not null"), named.where("root is null")
+    least = materialize(linked.groupBy("root").agg(F.min("lead").alias("least"), F.count("*").alias("members")), "least")
+    wide = least.where(F.col("members") * SHARE > (least.agg(F.sum("members")).first()[0] or 0)).select("root")
+    led = joined_evenly(linked, least.drop("members"), "root", wide)
+    found = led.select("set_key", F.col("least").alias("lead"), many.alias("many")).unionByName(alone.select("set_key", "lead", many.alias("many")))
+    found = materialize(found, "leads")
+    discard(nodes, sizes, shared, sets, links, open_, more, labels, least)
     slim = rows.select("doc_id", "n_shingles", "set_key", "text_key")
     out = joined_evenly(slim.where("set_key is not null"), found.drop("many"), "set_key", found.where("many").select("set_key"))
     return out.unionByName(slim.where("set_key is null").withColumn("lead", F.lit(None).cast(found.schema["lead"].dataType)))
