@@ -318,8 +318,13 @@ def repeated_spans(cuts: DataFrame, length: int, widths: tuple[int, ...] = WIDTH
     by_anchor = materialize(by_anchor.where("(contexts > 1 or several) and single > 0").select("anchor", "bytes"), "counts")
     n, total = once.agg(F.sum("places"), F.sum(F.length("context"))).first()
     # fewer than SHARE anchors hold more than one in SHARE of all bytes, and as many contexts of all places
-    giant, copied = by_anchor.where(F.col("bytes") * SHARE > (total or 0)), once.where(F.col("places") * SHARE > (n or 0))
-    compared = materialize(joined_evenly(once.select("anchor", "context_key", "context", "places"), by_anchor, "anchor", giant), "compared")
+    giant = {r["anchor"]: r["bytes"] for r in by_anchor.where(F.col("bytes") * SHARE > (total or 0)).collect()}
+    copied = once.where(F.col("places") * SHARE > (n or 0))
+    candidates = once.select("anchor", "context_key", "context", "places")
+    # giants are known to be compared, so no join has to say so
+    large = F.col("anchor").isin(list(giant))
+    some = candidates.where(~large).join(by_anchor, "anchor").unionByName(candidates.where(large).withColumn("bytes", F.when(F.col("anchor").isin([k for k, v in giant.items() if v > MOST]), MOST + 1).otherwise(0).cast("long")))
+    compared = materialize(some, "compared")
     mild, hot = compared.where(F.col("bytes") <= MOST), compared.where(F.col("bytes") > MOST)
     volume, n_hot = compared.agg(F.sum(F.when(F.col("bytes") <= MOST, F.length("context"))), F.count_if(F.col("bytes") > MOST)).first()
     shards = max(1, -(-(volume or 0) // SHARD))
@@ -391,8 +396,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = materialize(long_texts.select("id", "text").mapInArrow(find, "anchor long, id long, start int, n int, many int"), "anchors")
     twice = found.groupBy("anchor").agg(F.sum("many").alias("times"), F.count("*").alias("rows")).where("times > 1")
     twice = materialize(twice, "counts")
-    often = twice.where(F.col("rows") * SHARE > found.count()).select("anchor")
-    repeated = joined_evenly(found.select("anchor", "id", "start", "n", "many"), twice.select("anchor"), "anchor", often).groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "n", "many")).alias("runs"))
+    # fewer than SHARE anchors hold more than one in SHARE of all rows; they occur twice, so no join has to say so
+    often = F.col("anchor").isin([r["anchor"] for r in twice.where(F.col("rows") * SHARE > found.count()).select("anchor").collect()])
+    runs = found.select("anchor", "id", "start", "n", "many")
+    runs = runs.where(often).unionByName(runs.where(~often).join(twice.select("anchor"), "anchor", "left_semi"))
+    repeated = runs.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "n", "many")).alias("runs"))
 
     def cut(batches):
         for part in text_chunks(batches, "text", 1 << 18):
